@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +24,12 @@ from siltbed.llm.tokens import default_path, tokenizer
 #: Partitions (or groups) whose leftovers are merged in one group of the next level.
 MERGED = 32
 
-_FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
+
+
+def padded(length: int, size: int) -> int:
+    """What a sequence is padded to: the window, but a power of two stays as it is."""
+    return length if length & (length - 1) == 0 else size
 
 
 class OpenWindows:
@@ -58,11 +64,12 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, en
     part = TaskContext.get().partitionId()
     open_ = OpenWindows(size, most, part << 28)
     tok = tokenizer(path)
+    end = np.array([end_id], "<u4").tobytes()
     held: dict[int, list[tuple]] = {}  # pieces in windows that are still open
 
     def rows(out: list[tuple], left: bool) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
         arrays += [pa.array([left] * len(out), pa.bool_()), pa.array([part] * len(out), pa.int64())]
         names = [x.split(" ")[0] for x in _FIELDS.split(", ")] + ["open", "part"]
@@ -73,20 +80,21 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, en
         for begin in range(0, len(keys), 500):
             done: list[tuple] = []
             chunk = slice(begin, begin + 500)
-            for key, ids in zip(keys[chunk], tok.id_arrays(texts[chunk], end_id), strict=True):
-                total = len(ids)
+            for key, short in zip(keys[chunk], tok.ids_bytes(texts[chunk]), strict=True):
+                ids = np.frombuffer(short, tok.dtype).astype("<u4").tobytes() + end
+                total = len(ids) // 4
                 whole = total - total % size
                 for at in range(0, whole, size):
-                    done.append((key, at, size, ids[at : at + size].astype("<u4").tobytes(), total, open_.new_id(), 0))
+                    done.append((key, at, size, ids[4 * at : 4 * (at + size)], total, open_.new_id(), 0, size))
                 if whole < total:
                     where, offset = open_.place(total - whole)
-                    piece = (key, whole, total - whole, ids[whole:].astype("<u4").tobytes(), total, where, offset)
-                    held.setdefault(where, []).append(piece)
+                    held.setdefault(where, []).append((key, whole, total - whole, ids[4 * whole :], total, where, offset))
                 for where in open_.emitted:
-                    done += held.pop(where)
+                    full = padded(sum(p[2] for p in held[where]), size)
+                    done += [(*p, full) for p in held.pop(where)]
                 open_.emitted.clear()
             yield rows(done, False)
-    yield rows([p for ps in held.values() for p in ps], True)
+    yield rows([(*p, None) for ps in held.values() for p in ps], True)
 
 
 def _merge(pdf: pd.DataFrame, level: int, size: int, most: int) -> pd.DataFrame:
@@ -97,6 +105,7 @@ def _merge(pdf: pd.DataFrame, level: int, size: int, most: int) -> pd.DataFrame:
     open_ = OpenWindows(size, len(order) + 1, (level << 56) | (group << 28))
     placed = [open_.place(int(n)) for n in order["length"]]
     order["sequence_id"], order["offset"] = [p[0] for p in placed], [p[1] for p in placed]
+    order["padded_length"] = order.groupby("sequence_id")["length"].transform("sum").map(lambda n: padded(int(n), size))
     # only the emptiest windows, ``most`` at most, go on to the next level
     left = {where for _, where in open_.room[-most:]}
     order["open"] = order["sequence_id"].isin(left)
@@ -142,10 +151,7 @@ def pack_sequences(
             out = out.unionByName(merged)
             break
         out, left, level = out.unionByName(merged.where(~F.col("open"))), merged.where("open"), level + 1
-    filled = out.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
-    power = F.col("filled").bitwiseAND(F.col("filled") - 1) == 0
-    padded = filled.select("sequence_id", F.when(power, F.col("filled")).otherwise(F.lit(size)).cast("long").alias("padded_length"))
-    return out.drop("open", "part").join(padded, "sequence_id").select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")
+    return out.drop("open", "part")
 
 
 def check_padding(pieces: pd.DataFrame) -> float:

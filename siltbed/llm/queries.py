@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import classifier, html_text, media, mixing, packing, rollups, rules, token_output
+from siltbed.llm import classifier, html_text, jaccard, media, mixing, packing, rollups, rules, token_output
 from siltbed.llm.shared import cut, documents, fresh_path, text_or_empty, word_count
 
 
@@ -47,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, sf_dir))
+
+
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted with a first word count by single spaces, and with their byte-level BPE count; the
     word counts are then revised, and exact copies (all but the smallest doc_id of a text) deleted. The revision is
@@ -68,7 +72,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_source_mix, op3_quality_classifier, op4_quality_rules, op5_token_files, op6_html_text, op7_media_chunks, op8_packing, op10_token_rollups,
+        op1_source_mix, op3_quality_classifier, op4_quality_rules, op5_token_files, op6_html_text, op7_media_chunks, op8_packing, op9_jaccard_join, op10_token_rollups,
     )}
 
 

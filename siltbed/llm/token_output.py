@@ -62,8 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     counts = np.zeros(max(tok.size, end_id + 1), np.int64)
 
     def add(words: Counter) -> None:
-        known = tok.learn(set(words))
-        ids = [known[w] for w in words]
+        ids = list(map(tok.learn(set(words)).__getitem__, words))
         each = np.fromiter(map(len, ids), np.int64, len(ids)) // tok.dtype.itemsize
         weight = np.repeat(np.fromiter(words.values(), np.int64, len(ids)), each)
         counts[:] += np.bincount(np.frombuffer(b"".join(ids), tok.dtype), weight, len(counts)).astype(np.int64)
@@ -153,7 +152,7 @@ def write_token_files(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     n = docs.count()
     shards = max(1, -(-n // SHARD_DOCS))
-    bounds = docs.select(F.col(id_col).cast("long").alias("k")).agg(F.percentile_approx("k", [F.lit(i / shards) for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
+    bounds = docs.select(F.col(id_col).cast("long").alias("k")).agg(F.percentile_approx("k", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
     edges = sorted({int(b) for b in bounds or []})
     coded = plain.mapInArrow(lambda it: _encoded(it, tok, end_id, sent.value), _DOC)
     at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -33,8 +34,9 @@ def default_path() -> str:
 class WordTokenizer:
     """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
-    Strings of special tokens in a text are ordinary text. Memory is bounded: two generations of at most ``keep``
-    words; a word that neither holds is encoded again.
+    Strings of special tokens in a text are ordinary text. Memory is bounded: two generations of about ``keep`` words
+    each; a word that neither holds is encoded again. New words are encoded many in one call, as a text of their own:
+    the bytes that each id stands for tell where a word's ids end.
     """
 
     def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
@@ -43,66 +45,92 @@ class WordTokenizer:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self.size = self._tok.get_vocab_size()
+        vocabulary = self._tok.get_vocab()
+        self.size = len(vocabulary)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token's letters stand for one byte each
+        self._bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self._keep, self._longest = keep, longest
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        out = self._tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in out]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of `` word``: letters and the punctuation after them are pieces of their own to the pre-tokenizer, so
-        they are encoded apart, each once for all the words that have it."""
-        parts = []
-        for w in words:
-            core = w.rstrip(_AFTER)
-            parts.append((core, w[len(core) :]) if core.isalpha() else (w, ""))
-        cores = list({c for c, _ in parts} - self._young.keys())
-        ends = [e for e in {e for _, e in parts} if e]
-        ids = dict(zip(cores, self._encode([" " + c for c in cores]), strict=True))
-        after = dict(zip(ends, self._encode(ends), strict=True)) | {"": b""}
-        young = self._young
-        return [(ids[c] if c in ids else young[c]) + after[e] for c, e in parts]
+        self._ends: dict[str, bytes] = {"": b""}
+
+    def _raw(self, piece: str) -> bytes:
+        return np.array(self._tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _many(self, words: list[str]) -> Iterator[bytes]:
+        text = "".join([w if w[0] == "\n" else " " + w for w in words])
+        ids = np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        lengths = np.fromiter([len(w.encode()) + (w[0] != "\n") for w in words], np.int64, len(words))
+        ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths)) + 1
+        raw, n = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        begin = 0
+        for end in (ends * n).tolist():
+            yield raw[begin:end]
+            begin = end
+
+    def _end(self, end: str) -> bytes:
+        if (found := self._ends.get(end)) is None:
+            found = self._raw(end)
+            if len(end) <= 4:
+                self._ends[end] = found
+        return found
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """A dict that holds the ids of `` word`` for all the words given."""
+        """A dict that holds the ids of each word; a space or, for those that have one, a line feed stands before it.
+
+        Letters and the punctuation after them are pieces of their own to the pre-tokenizer, so they are encoded
+        apart, each once for all the words that have it."""
         if len(self._young) > self._keep:
             self._old, self._young = self._young, {}
         young, old = self._young, self._old
-        missing = words.difference(young)
-        known = {w: old[w] for w in missing.intersection(old)}
-        young.update(known)
-        new = list(missing.difference(known))
+        new = []
+        for w in words.difference(young):
+            if (found := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = found
+        if not new:
+            return young
+        parts = []
+        for w in new:
+            core = w.rstrip(_AFTER)
+            parts.append((core, w[len(core) :]) if core.isalpha() or core[:1] == "\n" and core[1:].isalpha() else (w, ""))
         passing = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, b in zip(part, self._word_ids(part), strict=True):
-                (young if len(w) <= self._longest else passing)[w] = b
+        cores = list({c for c, _ in parts}.difference(young))
+        for i in range(0, len(cores), 20_000):
+            part = cores[i : i + 20_000]
+            for c, ids in zip(part, self._many(part), strict=True):
+                (young if len(c) <= self._longest else passing)[c] = ids
+        for w, (c, e) in zip(new, parts, strict=True):
+            ids = (young[c] if c in young else passing[c]) + self._end(e)
+            (young if len(w) <= self._longest else passing)[w] = ids
         return young if not passing else {w: young[w] if w in young else passing[w] for w in words}
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
-        """The start of a text, which is encoded as it is, and the words after it, each with a space before."""
-        odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text)
-        parts = _CUT.split(text) if odd else text.split(" ")
+        """The start of a text, which is encoded as it is, and the words after it, for ``learn``."""
+        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)
+        parts = _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
         return parts[0], parts[1:]
 
-    def ids_bytes(self, texts: list[str | None], chars: int = 4_000_000) -> list[bytes]:
+    def ids_bytes(self, texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; null is empty. Works on some ``chars`` characters at once."""
-        out: list[bytes] = []
-        begin, held = 0, 0
-        for end in range(1, len(texts) + 1):
-            held += len(texts[end - 1] or "")
-            if held >= chars or end == len(texts):
-                cut = [self.pieces(t or "") for t in texts[begin:end]]
-                known = self.learn(set().union(*(ws for _, ws in cut)))
-                starts = self._encode([first for first, _ in cut])
-                get = known.__getitem__
-                out += [s + b"".join(map(get, ws)) for s, (_, ws) in zip(starts, cut, strict=True)]
-                begin, held = end, 0
-        return out
+        held: list[tuple[str, list[str]]] = []
+        size = 0
+
+        def out() -> Iterator[bytes]:
+            get = self.learn(set().union(*(ws for _, ws in held))).__getitem__
+            for first, ws in held:
+                yield self._raw(first) + b"".join(map(get, ws))
+
+        for text in texts:
+            held.append(self.pieces(text or ""))
+            size += len(text or "")
+            if size > chars:
+                yield from out()
+                held.clear()
+                size = 0
+        yield from out()
 
     def id_arrays(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         tail = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
