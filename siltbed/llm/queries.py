@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import classifier, html_text, jaccard, media, mixing, packing, rollups, rules, token_output
+from siltbed.llm import classifier, html_text, jaccard, media, mixing, packing, rollups, rules, substrings, token_output
 from siltbed.llm.shared import cut, documents, fresh_path, text_or_empty, word_count
 
 
@@ -18,6 +18,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_ = substrings.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return cut_.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -72,7 +78,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_source_mix, op3_quality_classifier, op4_quality_rules, op5_token_files, op6_html_text, op7_media_chunks, op8_packing, op9_jaccard_join, op10_token_rollups,
+        op1_source_mix, op2_repeated_bytes, op3_quality_classifier, op4_quality_rules, op5_token_files, op6_html_text, op7_media_chunks, op8_packing, op9_jaccard_join, op10_token_rollups,
     )}
 
 
