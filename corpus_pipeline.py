@@ -1,7 +1,65 @@
-"""The corpus pipeline: STAGES over the documents table, each written and read again by the next."""
-STAGES = []
+"""The corpus pipeline: STAGES over the documents table, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
+of documents; the last returns pieces of token sequences. Stages 4, 9, 2 and 1 take documents of distinct ids, as the
+table has them; null and empty texts fail the first stage's rules. No SQL can express the stages; tests compare them
+with brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltbed.llm import jaccard, mixing, packing, rules, substrings
+from siltbed.llm.shared import cut, documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return rules.quality_rules(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by similarity."""
+    found = jaccard.similar_documents(docs)
+    first = found.where("doc_id = component_id").select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages that start earlier too, by whole characters."""
+    left = substrings.remove_repeats(docs, carry=("lang", "source"), chars=True)
+    text = F.col("kept").cast("string")
+    return left.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: never, once or twice."""
+    mixed = mixing.mix_sources(docs)
+    return mixed.withColumn("_copy", F.explode(F.expr("array_repeat(1, CAST(mix_copies AS INT))"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack_sequences(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("packed", packed),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -167,13 +167,27 @@ def spans_of(repeated: list[tuple[int, int]], width: int) -> list[tuple[int, int
     return out
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def whole_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of the ranges that are whole UTF-8 characters."""
+    out = []
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> Iterator[pa.RecordBatch]:
     """The last two columns are the text and its repeated windows; they become n_bytes, spans and kept."""
     for batch in batches:
         raws = _bytes(batch.column(batch.num_columns - 2))
         spans, kept = [], []
         for raw, asked in zip(raws, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             own = spans_of([(r["at"], r["n"]) for r in asked or ()], width)
+            own = whole_chars(raw, own) if chars else own
             ends = [0, *(x for s in own for x in s), len(raw)]
             spans.append([{"begin": a, "end": b} for a, b in own])
             kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
@@ -181,12 +195,14 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 24, chars: bool = False) -> DataFrame:
     """doc_id, the columns ``carry``, n_bytes, spans (begin and end of the removed byte ranges) and kept (what is left).
 
     A byte is removed if a string of ``width`` bytes that covers it also starts earlier: in a document of a smaller id,
     or further ahead in the same one. Strings are those of the input and lie in one document.
 
+    With ``chars``, a character of several bytes stays whole unless all its bytes are removed.
+
     Null and empty texts, and texts below ``width`` bytes, keep all. A null id is one document ahead of all others.
     Rows of one id count as one document that is given more than once; each has the same bytes removed. An empty table
     gives no rows. Carried columns may have any name but those above.
@@ -215,6 +231,6 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     joined = given.withColumn("_id", key).join(all_.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*carry, "doc_id", "_text", "_w")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    return joined.mapInArrow(lambda it: _cut_texts(it, width), f"{fields}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
+    return joined.mapInArrow(lambda it: _cut_texts(it, width, chars), f"{fields}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
 
 
