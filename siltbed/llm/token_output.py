@@ -10,7 +10,6 @@ of ranks. Blocks are in ascending (shard, block) order, and within them document
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import fresh_path
-from siltbed.llm.tokens import default_path, tokenizer
+from siltbed.llm.shared import cut, fresh_path
+from siltbed.llm.tokens import default_path, forget, tokenizer
 
 #: Row c: the lengths in bytes of the four values that control byte c stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k)) & 3 for k in range(4)], axis=1).astype(np.int64) + 1
 
 #: Documents of one shard, about, and value bytes of one block.
-SHARD_DOCS, BLOCK_BYTES = 20_000, 2_000_000
+SHARD_DOCS, BLOCK_BYTES = 20_000, 500_000
+#: Most shards; beyond it they hold more documents.
+SHARDS = 2048
 
 _DOC = "doc_id long, tie long, n_tokens long, control binary, data binary"
 _BLOCK = "shard long, block long, start long, n_docs long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
@@ -56,49 +57,45 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """How often each id comes: words are counted first, and the ids of each different word looked up once."""
+def _ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     tok = tokenizer(path)
-    counts = np.zeros(max(tok.size, end_id + 1), np.int64)
+    end = np.array([end_id], tok.dtype).tobytes()
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1000):
+            part = batch.slice(begin, 1000)
+            ids = pa.array([b + end for b in tok.ids_bytes(part.column(2).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
+
+
+def _arrays(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    raw = column.buffers()[2]
+    flat = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    return flat.view(dtype) if len(flat) else np.empty(0, dtype), np.diff(offsets) // dtype.itemsize
 
-    def add(words: Counter) -> None:
-        ids = list(map(tok.learn(set(words)).__getitem__, words))
-        each = np.fromiter(map(len, ids), np.int64, len(ids)) // tok.dtype.itemsize
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(ids)), each)
-        counts[:] += np.bincount(np.frombuffer(b"".join(ids), tok.dtype), weight, len(counts)).astype(np.int64)
 
-    words: Counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    forget()
+    counts = np.zeros(0, np.int64)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        counts[end_id] += len(texts)
-        starts = []
-        for text in texts:
-            first, rest = tok.pieces(text or "")
-            starts.append(first)
-            words.update(rest)
-            if len(words) > 200_000:
-                add(words)
-                words.clear()
-        counts[:] += np.bincount(np.concatenate([np.empty(0, tok.dtype), *tok.id_arrays(starts)]), minlength=len(counts))
-    if words:
-        add(words)
+        ids, _ = _arrays(batch.column(0), dtype)
+        got = np.bincount(ids, minlength=len(counts))
+        got[: len(counts)] += counts
+        counts = got
     found = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["id", "n"])
 
 
-def id_counts(docs: DataFrame, text_col: str, path: str, end_id: int) -> DataFrame:
-    """(id, n) over all documents, each with ``end_id`` after it; at most one row for each id of the vocabulary."""
-    return docs.select(text_col).mapInArrow(lambda it: _count(it, path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    tok = tokenizer(path)
+def _encoded(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 1000):
             part = batch.slice(begin, 1000)
-            ids = tok.id_arrays(part.column(2).to_pylist(), end_id)
-            pairs = [encode(rank[x]) for x in ids]
-            cols = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64())]
+            ids, each = _arrays(part.column(2), dtype)
+            ranks = rank[ids]
+            ends = np.cumsum(each)
+            pairs = [encode(ranks[a:b]) for a, b in zip((ends - each).tolist(), ends.tolist(), strict=True)]
+            cols = [part.column(0), part.column(1), pa.array(each, pa.int64())]
             cols += [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "n_tokens", "control", "data"])
 
@@ -144,17 +141,19 @@ def write_token_files(
     """
     spark = docs.sparkSession
     tok = tokenizer_path or default_path()
-    counted = id_counts(docs, text_col, tok, end_id).orderBy(F.desc("n"), "id").toPandas()  # one row for each id of the vocabulary at most
-    rank = np.full(int(max([end_id, *counted["id"]])) + 1, 0, np.uint32)
+    dtype = tokenizer(tok).dtype
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    ids = cut(plain.mapInArrow(lambda it: _ids(it, tok, end_id), "doc_id long, tie long, ids binary"), "ids")
+    # one row for each id of the vocabulary at most
+    counted = ids.select("ids").mapInArrow(lambda it: _count(it, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    rank = np.zeros(int(max([end_id, *counted["id"]])) + 1, np.uint32)
     rank[counted["id"].to_numpy(np.int64)] = np.arange(len(counted), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(counted["id"])], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     sent = spark.sparkContext.broadcast(rank)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    n = docs.count()
-    shards = max(1, -(-n // SHARD_DOCS))
-    bounds = docs.select(F.col(id_col).cast("long").alias("k")).agg(F.percentile_approx("k", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
+    shards = max(1, min(SHARDS, -(-ids.count() // SHARD_DOCS)))
+    bounds = ids.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
     edges = sorted({int(b) for b in bounds or []})
-    coded = plain.mapInArrow(lambda it: _encoded(it, tok, end_id, sent.value), _DOC)
+    coded = ids.mapInArrow(lambda it: _encoded(it, sent.value, dtype), _DOC)
     at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
     dealt = coded.withColumn("shard", F.coalesce(at, F.lit(0)).cast("long")).repartition(len(edges) + 1, "shard")
     dealt = dealt.sortWithinPartitions(F.asc("shard"), F.asc_nulls_first("doc_id"), F.asc("tie"))

@@ -39,7 +39,7 @@ class WordTokenizer:
     the bytes that each id stands for tell where a word's ids end.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -93,16 +93,23 @@ class WordTokenizer:
         if not new:
             return young
         parts = []
+        whole: set[str] = set()
         for w in new:
+            if w.isalpha():
+                whole.add(w)
+                continue
             core = w.rstrip(_AFTER)
-            parts.append((core, w[len(core) :]) if core.isalpha() or core[:1] == "\n" and core[1:].isalpha() else (w, ""))
-        passing = {}
-        cores = list({c for c, _ in parts}.difference(young))
+            if len(core) < len(w) and (core.isalpha() or core[:1] == "\n" and core[1:].isalpha()):
+                parts.append((w, core, w[len(core) :]))
+            else:
+                whole.add(w)
+        passing: dict[str, bytes] = {}
+        cores = [*whole, *{c for _, c, _ in parts}.difference(whole, young)]
         for i in range(0, len(cores), 20_000):
             part = cores[i : i + 20_000]
             for c, ids in zip(part, self._many(part), strict=True):
                 (young if len(c) <= self._longest else passing)[c] = ids
-        for w, (c, e) in zip(new, parts, strict=True):
+        for w, c, e in parts:
             ids = (young[c] if c in young else passing[c]) + self._end(e)
             (young if len(w) <= self._longest else passing)[w] = ids
         return young if not passing else {w: young[w] if w in young else passing[w] for w in words}
@@ -142,3 +149,8 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
+
+
+def forget() -> None:
+    """Drops the tokenizers of a worker process with the words they know, for a step that needs none."""
+    _LOADED.clear()
