@@ -1,4 +1,6 @@
 """Every query by its name, and its SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from siltbed.plans import archive, media, scalars, streams  # noqa: F401  they register their queries
+from siltbed.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
