@@ -15,8 +15,9 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     Each round takes the least label among a node's neighbours and then that label's own label; rounds go on until
     no label changes, about as many as the logarithm of the longest path. Labels are written after each round.
     """
-    if start is not None:
-        links = links.select("a", "b").unionByName(start.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    if start is not None:  # components become nodes
+        a, b = (start.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        links = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both, "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
@@ -31,6 +32,7 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         if not changed:
             break
     if start is not None:
-        rest = start.join(labels, "node", "left_anti")
-        labels = labels.unionByName(rest.select("node", "component"))
+        now = labels.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        moved = start.join(now, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        labels = labels.join(start, "node", "left_anti").unionByName(moved)
     return labels

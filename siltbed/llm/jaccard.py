@@ -10,8 +10,9 @@ as long as E <= e: 1 + e - E agreements are left. Of these every set may ignore
 one order for all: the rarest signature that two similar sets share is never among them. What only shares a frequent
 passage thus meets no more. A set with more empty partitions gives the empty ones too.
 
-Candidates are verified on the whole sets. Within the group of a signature all sets are first compared with the
-smallest; later only sets of groups that still lie in several components are, and pairs that were compared aren't again.
+Candidates are verified on the whole sets. Groups of signatures that have the same sets are one group. In each of some
+rounds the sets of a group are compared with one of them, unless they lie in its component already; rounds end when
+they bring little. Then the pairs across components of the groups that are left are compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -103,43 +104,33 @@ class PartEnum:
         return out
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid"])
+_SIGNED = "doc_id long, n_shingles long, sid long, bands array<struct<part: long, sigs: array<long>>>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum) -> Iterator[pa.RecordBatch]:
-    """(sig, sid, part): part has the band and how many signatures the set may ignore there. A set that comes again in
-    the same task gives no more."""
+    """Each document's number of shingles, the name of its set, and the set's signatures by band; part has the band and
+    how many signatures the set may ignore there. A set that comes again in the same task gives no more."""
+    kind = pa.list_(pa.struct([("part", pa.int64()), ("sigs", pa.list_(pa.int64()))]))
     seen: set[int] = set()
-    held: list[tuple] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        sigs = np.concatenate([h[0] for h in held]) if held else np.empty(0, np.uint64)
-        lengths = [len(h[0]) for h in held]
-        sids = np.repeat(np.array([h[1] for h in held], np.int64), lengths)
-        parts = np.repeat(np.array([h[2] for h in held], np.int64), lengths)
-        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(sids), pa.array(parts)], ["sig", "sid", "part"])
-
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            s = shingle_set(text)
-            if not len(s):
-                continue
-            sid = set_hash(s)
-            if sid in seen:
-                continue
-            seen.add(sid)
-            for band, free, sigs in scheme.signatures(s):
-                held.append((sigs, sid, band << 40 | free))
-                size += len(sigs)
-            if size > 200_000:
-                yield out()
-                held, size = [], 0
-    yield out()
+        for begin in range(0, batch.num_rows, 500):
+            part = batch.slice(begin, 500)
+            sizes, sids, ends, parts, lengths, sigs = [], [], [0], [], [0], []
+            for text in part.column(1).to_pylist():
+                s = shingle_set(text)
+                sizes.append(len(s))
+                sids.append(set_hash(s) if len(s) else None)
+                if len(s) and sids[-1] not in seen:
+                    seen.add(sids[-1])
+                    for band, free, own in scheme.signatures(s):
+                        parts.append(band << 40 | free)
+                        lengths.append(lengths[-1] + len(own))
+                        sigs.append(own)
+                ends.append(len(parts))
+            flat = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64))
+            inner = pa.StructArray.from_arrays([pa.array(parts, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["part", "sigs"])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner).cast(kind)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), bands], ["doc_id", "n_shingles", "sid", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -171,31 +162,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(right, "b").join(left, "a").where(den * both >= num * total).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (sig, sid, component) of the groups that lie in several components."""
+    named = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    several = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
+    return named.join(several, "sig")
+
+
+def _star(groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each group's first set, in an order by hash that all groups have in common, with those of the group
+    that lie in another component."""
+    first = groups.groupBy("sig").agg(F.min_by(F.struct("sid", "component"), F.struct(F.xxhash64("sid", F.lit(turn)), "sid")).alias("p"))
+    both = groups.join(first, "sig").where(F.col("component") != F.col("p.component"))
+    return both.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, turns: int = 6) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of 5-word shingles. Null and empty texts
     and texts without words have no shingles and are linked with nothing: their component is themselves. Equal sets
     are one set, so copies cost nothing and are linked. Rows with a null id take part as any other; a component of
     null ids only is null. Other columns are not read. An empty table gives no rows.
+
+    ``turns`` is the most rounds in which a group's sets are compared with one of them; whatever is in different
+    components after them is compared pair by pair, so it changes no result.
     """
     spark = docs.sparkSession
     scheme = PartEnum(num, den)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    narrow = cut(plain.mapInArrow(_narrow, "doc_id long, n_shingles long, sid long"), "sets")
-    rows = plain.select("text").mapInArrow(lambda it: _signed(it, scheme), "sig long, sid long, part long")
-    # one exchange: rows of a signature meet, doubles from other tasks go, and what only one set has is gone
+    signed = cut(plain.mapInArrow(lambda it: _signed(it, scheme), _SIGNED), "signed")
+    narrow = signed.select("doc_id", "n_shingles", "sid")
+    rows = signed.select("sid", F.explode("bands").alias("b")).select("sid", F.col("b.part").alias("part"), F.explode("b.sigs").alias("sig"))
+    # one exchange: rows of a signature meet, doubles from other tasks go, and so does what only one set has
     by_sig = rows.repartition("sig").dropDuplicates(["sig", "sid"])
     counted = by_sig.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     rank = F.row_number().over(Window.partitionBy("sid", "band").orderBy(F.desc("n"), "sig"))
     free = F.col("part").bitwiseAND((1 << 40) - 1)
     kept = counted.withColumn("band", F.shiftright("part", 40)).withColumn("rank", rank).where(F.col("rank") > free)
-    shared = cut(kept.select("sig", "sid"), "signatures")
-    pivot = shared.groupBy("sig").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a")
-    pairs = cut(shared.join(pivot, "sig").where("sid != a").select("a", F.col("sid").alias("b")).distinct(), "pairs")
-    in_pairs = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    # every set of a group is in a pair with the group's smallest; one document of each such set is read again
-    chosen = cut(narrow.join(in_pairs, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "chosen")
+    kept = cut(kept.select("sig", "sid"), "signatures")
+    # similar sets share many signatures: of those with the same sets one is enough
+    same = kept.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("y")).where("n > 1")
+    one = same.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    shared = cut(kept.join(one, "sig"), "groups")
+    in_groups = shared.select("sid").distinct()
+    # one document of each set that is in a group is read again
+    chosen = cut(narrow.join(in_groups, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "chosen")
     if 8 * chosen.count() <= BROADCAST_BYTES:
         wanted = np.sort(np.array([r[0] for r in chosen.where("doc_id IS NOT NULL").collect()] or [-1], np.int64))
         sent = spark.sparkContext.broadcast(wanted)
@@ -203,21 +215,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     else:
         read = plain.join(chosen, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), "sid long, shingles array<long>")
     sets = cut(read.dropDuplicates(["sid"]), "shingles")
-    links = cut(_verified(pairs, sets, num, den), "found")
-    found = cut(components(links), "components")
+    sizes = cut(sets.select("sid", F.size("shingles").alias("size")), "sizes")
+    found = sizes.select(F.col("sid").alias("node"), F.col("sid").alias("component"))
+    tested, groups, before = None, shared, None
+    for turn in range(turns):
+        groups = cut(_open(groups, found), "open")
+        left = groups.count()
+        if not left or before is not None and left > 0.8 * before:
+            break
+        before = left
+        pairs = cut(_fitting(_star(groups, turn), sizes, num, den), "pairs")
+        if tested is not None:
+            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = cut(components(cut(_verified(pairs, sets, num, den), "links"), found), "components")
+        groups = groups.select("sig", "sid")
     # groups that still lie in several components: their pairs across components that weren't compared yet
-    named = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-    left = cut(named.join(open_, "sig").join(sets.select("sid", F.size("shingles").alias("size")), "sid"), "open")
-    x, y = left.alias("x"), left.alias("y")
+    groups = cut(_open(groups.select("sig", "sid"), found).join(sizes, "sid"), "open")
+    x, y = groups.alias("x"), groups.alias("y")
     fit = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component"))
     fit &= (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")).cast("boolean")
     across = x.join(y, F.col("x.sig") == F.col("y.sig")).where(fit).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    across = cut(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = cut(_verified(across, sets, num, den), "more")
-    final = components(more, found)
+    if tested is not None:
+        across = across.join(tested, ["a", "b"], "left_anti")
+    final = components(cut(_verified(cut(across, "across"), sets, num, den), "more"), found)
     named = narrow.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = cut(named, "named")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes alone don't rule them out."""
+    a, b = (sizes.select(F.col("sid").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")

@@ -89,6 +89,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def nearest(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The nearer of a sum from below and one from above, which leaves out what fits the rest."""
+    below = fit(lengths, counts, budget)
+    above = counts - fit(lengths, counts, int((lengths * counts).sum()) - budget)
+    return below if budget - int((lengths * below).sum()) <= int((lengths * above).sum()) - budget else above
+
+
 def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one source, sorted by length: copies that every document gets, and how many documents get one more."""
     pdf = pdf.sort_values("size").reset_index(drop=True)
@@ -99,7 +106,7 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     extra = np.zeros(len(pdf), np.int64)
     some = sizes > 0
     if total and some.any():
-        extra[some] = fit(sizes[some], counts[some], round(target - base * total))
+        extra[some] = nearest(sizes[some], counts[some], round(target - base * total))
     pdf["extra"] = extra
     return pdf[["source", "size", "n", "source_size", "target", "base", "extra"]]
 
