@@ -10,9 +10,10 @@ as long as E <= e: 1 + e - E agreements are left. Of these every set may ignore
 one order for all: the rarest signature that two similar sets share is never among them. What only shares a frequent
 passage thus meets no more. A set with more empty partitions gives the empty ones too.
 
-Candidates are verified on the whole sets. Groups of signatures that have the same sets are one group. In each of some
-rounds the sets of a group are compared with one of them, unless they lie in its component already; rounds end when
-they bring little. Then the pairs across components of the groups that are left are compared, so no link is lost.
+Candidates are verified on the whole sets. Groups of signatures that have the same sets are one group. The sets of a
+group are first compared with one of them. The sets of groups that then lie in several components get finer signatures,
+their rare shingles, and some more rounds compare the sets of these groups with one of them, unless they lie in its
+component already; rounds end when they bring little. Then the pairs across components of the groups that are left are compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.graph import components
@@ -34,6 +35,9 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _KNOWN: dict[str, int] = {}
 #: Bytes of candidate ids that are broadcast at most; beyond it they are joined.
 BROADCAST_BYTES = 64 << 20
+#: Bits of the parity sketch that rules pairs out before their sets are compared.
+SKETCH = 1024
+_SETS = "sid long, shingles array<long>, sketch array<long>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -133,6 +137,13 @@ def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), bands], ["doc_id", "n_shingles", "sid", "bands"])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits as signed 64-bit integers: each is the parity of the shingles that fall on it, so two sketches differ
+    in no more bits than their sets in shingles."""
+    at = (mixed(s ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -149,8 +160,9 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Itera
             sid = set_hash(s) if len(s) else None
             if sid is not None and sid not in seen:
                 seen.add(sid)
-                rows.append((sid, s.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["sid", "shingles"])
+                rows.append((sid, s.view(np.int64), sketch(s)))
+        cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays(cols, ["sid", "shingles", "sketch"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,6 +189,23 @@ def _star(groups: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
 
+def _distinct_groups(kept: DataFrame) -> DataFrame:
+    """Rows (sig, sid), of groups with the same sets only one: similar sets share many signatures."""
+    same = kept.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("y")).where("n > 1")
+    one = same.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    return kept.join(one, "sig")
+
+
+def _rare_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (sig, sid) where sig is a shingle: the limit of ever finer partitions. A set's rarest shingles, as many as
+    may differ and one more, hold one that each similar set has among its own."""
+    each = sets.select("sid", F.size("shingles").alias("size"), F.explode("shingles").alias("sig"))
+    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("n", "sig"))
+    least = F.ceil(F.col("size") * num / den)
+    return counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - least + 1) & (F.col("n") > 1)).select("sig", "sid")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, turns: int = 6) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document.
 
@@ -201,43 +230,42 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     free = F.col("part").bitwiseAND((1 << 40) - 1)
     kept = counted.withColumn("band", F.shiftright("part", 40)).withColumn("rank", rank).where(F.col("rank") > free)
     kept = cut(kept.select("sig", "sid"), "signatures")
-    # similar sets share many signatures: of those with the same sets one is enough
-    same = kept.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("y")).where("n > 1")
-    one = same.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    shared = cut(kept.join(one, "sig"), "groups")
+    shared = cut(_distinct_groups(kept), "groups")
     in_groups = shared.select("sid").distinct()
     # one document of each set that is in a group is read again
     chosen = cut(narrow.join(in_groups, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "chosen")
     if 8 * chosen.count() <= BROADCAST_BYTES:
         wanted = np.sort(np.array([r[0] for r in chosen.where("doc_id IS NOT NULL").collect()] or [-1], np.int64))
         sent = spark.sparkContext.broadcast(wanted)
-        read = plain.where("doc_id IS NOT NULL").mapInArrow(lambda it: _sets(it, sent.value), "sid long, shingles array<long>")
+        read = plain.where("doc_id IS NOT NULL").mapInArrow(lambda it: _sets(it, sent.value), _SETS)
     else:
-        read = plain.join(chosen, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), "sid long, shingles array<long>")
+        read = plain.join(chosen, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), _SETS)
     sets = cut(read.dropDuplicates(["sid"]), "shingles")
-    sizes = cut(sets.select("sid", F.size("shingles").alias("size")), "sizes")
+    sizes = cut(sets.select("sid", F.size("shingles").alias("size"), "sketch"), "sizes")
     found = sizes.select(F.col("sid").alias("node"), F.col("sid").alias("component"))
-    tested, groups, before = None, shared, None
-    for turn in range(turns):
+    pairs = cut(_fitting(_star(_open(shared, found), 0), sizes, num, den), "pairs")
+    found = cut(components(cut(_verified(pairs, sets, num, den), "links"), found), "components")
+    # what isn't settled by that is signed anew by rare shingles: passages that many sets share bring nobody together
+    hot = _open(shared, found).select("sid").distinct()
+    groups = cut(_distinct_groups(cut(_rare_groups(sets.join(hot, "sid"), num, den), "rare")), "regrouped")
+    tested, before = pairs, None
+    for turn in range(1, turns):
         groups = cut(_open(groups, found), "open")
         left = groups.count()
-        if not left or before is not None and left > 0.8 * before:
+        if not left or before is not None and left > 0.9 * before:
             break
         before = left
-        pairs = cut(_fitting(_star(groups, turn), sizes, num, den), "pairs")
-        if tested is not None:
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = cut(_fitting(_star(groups, turn), sizes, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
         found = cut(components(cut(_verified(pairs, sets, num, den), "links"), found), "components")
         groups = groups.select("sig", "sid")
     # groups that still lie in several components: their pairs across components that weren't compared yet
     groups = cut(_open(groups.select("sig", "sid"), found).join(sizes, "sid"), "open")
     x, y = groups.alias("x"), groups.alias("y")
     fit = (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component"))
-    fit &= (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")).cast("boolean")
+    fit &= _may_be_similar("x", "y", num, den)
     across = x.join(y, F.col("x.sig") == F.col("y.sig")).where(fit).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    if tested is not None:
-        across = across.join(tested, ["a", "b"], "left_anti")
+    across = across.join(tested, ["a", "b"], "left_anti")
     final = components(cut(_verified(cut(across, "across"), sets, num, den), "more"), found)
     named = narrow.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = cut(named, "named")
@@ -246,7 +274,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _may_be_similar(x: str, y: str, num: int, den: int) -> Column:
+    """False only for pairs that can't be similar, by their sizes and sketches."""
+    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"{x}.sketch")[0].bitwiseXOR(F.col(f"{y}.sketch")[0])))
+    return (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large))
+
+
 def _fitting(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes alone don't rule them out."""
-    a, b = (sizes.select(F.col("sid").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
+    """Pairs that their sizes and sketches don't rule out."""
+    joined = pairs.join(sizes.select(F.col("sid").alias("a"), F.struct("size", "sketch").alias("x")), "a")
+    return joined.join(sizes.select(F.col("sid").alias("b"), F.struct("size", "sketch").alias("y")), "b").where(_may_be_similar("x", "y", num, den)).select("a", "b")
