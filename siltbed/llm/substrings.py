@@ -31,6 +31,9 @@ from siltbed.llm.shared import cut
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(0xD1617).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+_NULL_ID = -(1 << 63)
+#: A position packs the first window and how many follow it: first << SHIFT | windows - 1.
+SHIFT = 20
 #: Bytes that are hashed at once.
 CHUNK = 1 << 19
 
@@ -133,26 +136,28 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[
             parts.append((ids[part.start + text], first, count, grams, run))
         doc, first, count, grams, run = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 5
         later = _later(grams, run, doc, first)
-        cols = [pa.array(x) for x in (grams, run, doc, first.astype(np.int32), count.astype(np.int32), later)]
-        yield pa.RecordBatch.from_arrays(cols, ["gram", "run", "doc_id", "at", "n", "later"])
+        cols = [pa.array(x) for x in (grams, run, doc, first << SHIFT | count - 1, later)]
+        yield pa.RecordBatch.from_arrays(cols, ["gram", "run", "doc_id", "at", "later"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(gram, window, doc_id, at, later) of every window of the runs asked for."""
     for batch in batches:
-        ids, texts, asked = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        ids, texts, asked = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+        ids = ids.to_pylist()
         held = []
         for i, doc in enumerate(ids):
             if not (runs := asked[i].as_py()):
                 continue
             raw = np.frombuffer((texts[i].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-            first, n, gram = (np.array([r[k] for r in runs], np.int64) for k in ("at", "n", "gram"))
+            at, gram = (np.array([r[k] for r in runs], np.int64) for k in ("at", "gram"))
+            first, n = at >> SHIFT, (at & ((1 << SHIFT) - 1)) + 1
             at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             h = Hashes(raw)
             held.append((np.repeat(gram, n), mixed(h.of(at, at + width)).view(np.int64), np.full(len(at), doc, np.int64), at))
         cols = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0, np.int64)] * 4
         later = _later(*cols)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3].astype(np.int32)), pa.array(later)], ["gram", "window", "doc_id", "at", "later"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3] << SHIFT), pa.array(later)], ["gram", "window", "doc_id", "at", "later"])
 
 
 def spans_of(repeated: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
@@ -186,7 +191,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> It
         raws = _bytes(batch.column(batch.num_columns - 2))
         spans, kept = [], []
         for raw, asked in zip(raws, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            own = spans_of([(r["at"], r["n"]) for r in asked or ()], width)
+            own = spans_of([(x >> SHIFT, (x & ((1 << SHIFT) - 1)) + 1) for x in asked or ()], width)
             own = whole_chars(raw, own) if chars else own
             ends = [0, *(x for s in own for x in s), len(raw)]
             spans.append([{"begin": a, "end": b} for a, b in own])
@@ -195,7 +200,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> It
         yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 24, chars: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, chars: bool = False) -> DataFrame:
     """doc_id, the columns ``carry``, n_bytes, spans (begin and end of the removed byte ranges) and kept (what is left).
 
     A byte is removed if a string of ``width`` bytes that covers it also starts earlier: in a document of a smaller id,
@@ -207,29 +212,27 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "
     Rows of one id count as one document that is given more than once; each has the same bytes removed. An empty table
     gives no rows. Carried columns may have any name but those above.
     """
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(text_col).alias("_text"))
-    runs = plain.mapInArrow(lambda it: _runs(it, width, gram), "gram long, run long, doc_id long, at int, n int, later boolean")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    runs = docs.select(key, F.col(text_col)).mapInArrow(lambda it: _runs(it, width, gram), "gram long, run long, doc_id long, at long, later boolean")
     same = Window.partitionBy("gram", "run").orderBy("doc_id", "at")
     first = F.first(F.struct("doc_id", "at")).over(same)
     several = F.min("run").over(Window.partitionBy("gram")) != F.max("run").over(Window.partitionBy("gram"))
     dealt = runs.where("NOT later").repartition("gram").withColumn("other", first != F.struct("doc_id", "at")).withColumn("several", several)
-    dealt = dealt.where("other OR several").select("doc_id", "at", "n", "gram", "other")
-    local = runs.where("later").select("doc_id", "at", "n", "gram", F.lit(True).alias("other"))
+    dealt = dealt.where("other OR several").select("doc_id", "at", "gram", "other")
+    local = runs.where("later").select("doc_id", "at", "gram", F.lit(True).alias("other"))
     by_doc = dealt.unionByName(local).groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("other"), F.struct("at", "n"))).alias("whole"), F.collect_list(F.when(~F.col("other"), F.struct("at", "n", "gram"))).alias("ends")
+        F.collect_list(F.when(F.col("other"), F.col("at"))).alias("whole"), F.collect_list(F.when(~F.col("other"), F.struct("at", "gram"))).alias("ends")
     )
     by_doc = cut(by_doc, "runs")
-    asked = plain.join(by_doc.where(F.size("ends") > 0).select(F.col("doc_id").alias("_id"), "ends"), "_id", "left").select("_id", "_text", "ends")
-    windows = asked.mapInArrow(lambda it: _windows(it, width), "gram long, window long, doc_id long, at int, later boolean")
-    windows = cut(windows, "windows")
+    # both joins below deal out the texts in one way, so one exchange of them serves both
+    given = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), key.alias("_id"), F.col(text_col).alias("_text"))
+    asked = given.join(by_doc.where(F.size("ends") > 0).select(F.col("doc_id").alias("_id"), "ends"), "_id", "left").select(*given.columns, "ends")
+    windows = asked.mapInArrow(lambda it: _windows(it, width), "gram long, window long, doc_id long, at long, later boolean").repartition("gram")
     first = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("gram", "window").orderBy("doc_id", "at"))
-    single = windows.where("NOT later").withColumn("first", first).where(F.col("first") != F.struct("doc_id", "at")).select("doc_id", "at")
-    single = single.unionByName(windows.where("later").select("doc_id", "at"))
-    one = single.groupBy("doc_id").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("w"))
+    single = windows.withColumn("first", first).where((F.col("first") != F.struct("doc_id", "at")) | F.col("later"))
+    one = single.groupBy("doc_id").agg(F.collect_list("at").alias("w"))
     all_ = by_doc.where(F.size("whole") > 0).select("doc_id", F.col("whole").alias("w")).unionByName(one).groupBy("doc_id").agg(F.flatten(F.collect_list("w")).alias("_w"))
-    given = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    joined = given.withColumn("_id", key).join(all_.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*carry, "doc_id", "_text", "_w")
+    joined = given.join(all_.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*carry, "doc_id", "_text", "_w")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(lambda it: _cut_texts(it, width, chars), f"{fields}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
 
