@@ -77,9 +77,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, en
 
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for begin in range(0, len(keys), 500):
+        for begin in range(0, len(keys), 2000):
             done: list[tuple] = []
-            chunk = slice(begin, begin + 500)
+            chunk = slice(begin, begin + 2000)
             for key, short in zip(keys[chunk], tok.ids_bytes(texts[chunk]), strict=True):
                 ids = np.frombuffer(short, tok.dtype).astype("<u4").tobytes() + end
                 total = len(ids) // 4

@@ -61,8 +61,8 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[
     tok = tokenizer(path)
     end = np.array([end_id], tok.dtype).tobytes()
     for batch in batches:
-        for begin in range(0, batch.num_rows, 1000):
-            part = batch.slice(begin, 1000)
+        for begin in range(0, batch.num_rows, 2000):
+            part = batch.slice(begin, 2000)
             ids = pa.array([b + end for b in tok.ids_bytes(part.column(2).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
 

@@ -39,7 +39,7 @@ class WordTokenizer:
     the bytes that each id stands for tell where a word's ids end.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,7 +120,7 @@ class WordTokenizer:
         parts = _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
         return parts[0], parts[1:]
 
-    def ids_bytes(self, texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[bytes]:
+    def ids_bytes(self, texts: Iterable[str | None], chars: int = 5_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; null is empty. Works on some ``chars`` characters at once."""
         held: list[tuple[str, list[str]]] = []
         size = 0
