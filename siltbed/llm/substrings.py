@@ -12,7 +12,8 @@ from the most significant digit on, and a group of one leaves after each pass:
    bytes of each single window, and of equal windows all but the first are repeated.
 
 Equal runs and windows of one task are found there and only the first of them leaves it, so a passage that everything
-has sends one row from each task. All groups are of 128 bits (gram and run, or gram and window).
+has sends one row from each task. Groups are of 112 bits (64 of the gram, 48 of the
+run or window).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from siltbed.llm.shared import cut
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(0xD1617).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+#: Runs and windows are told apart by so many bits within a gram's 64; each bit less makes the exchanges smaller.
+_LOW = np.uint64((1 << 48) - 1)
 _NULL_ID = -(1 << 63)
 #: A position packs the first window and how many follow it: first << SHIFT | windows - 1.
 SHIFT = 20
@@ -99,7 +102,7 @@ def runs_of(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]
     a = a[new]
     run = mixed(h.of(first, first + count - 1 + width) + mixed(((a - first) << 20 | count).astype(np.uint64)))
     text = np.searchsorted(ends, first, side="right")
-    return text, first - starts[text], count, grams[a].view(np.int64), run.view(np.int64)
+    return text, first - starts[text], count, grams[a].view(np.int64), (run & _LOW).view(np.int64)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[slice]:
@@ -154,7 +157,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             first, n = at >> SHIFT, (at & ((1 << SHIFT) - 1)) + 1
             at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             h = Hashes(raw)
-            held.append((np.repeat(gram, n), mixed(h.of(at, at + width)).view(np.int64), np.full(len(at), doc, np.int64), at))
+            held.append((np.repeat(gram, n), (mixed(h.of(at, at + width)) & _LOW).view(np.int64), np.full(len(at), doc, np.int64), at))
         cols = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0, np.int64)] * 4
         later = _later(*cols)
         yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:3]), pa.array(cols[3] << SHIFT), pa.array(later)], ["gram", "window", "doc_id", "at", "later"])
@@ -200,7 +203,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> It
         yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 32, chars: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 48, chars: bool = False) -> DataFrame:
     """doc_id, the columns ``carry``, n_bytes, spans (begin and end of the removed byte ranges) and kept (what is left).
 
     A byte is removed if a string of ``width`` bytes that covers it also starts earlier: in a document of a smaller id,
