@@ -180,11 +180,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(ranks["id"].to_numpy(np.uint32))
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     docs = blocks.mapInArrow(lambda it: _decoded(it, sent.value), "shard long, doc_id long, at long, n_tokens long, ids binary")
-    # one row for each shard of SHARD_DOCS documents
+    # one row for each shard, SHARDS at most
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("shard", before.alias("base"))
-    return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
