@@ -217,6 +217,15 @@ def test_rules_reject_by_band(spark):
     assert sum(got[k]["kept"] for k in range(60)) >= 54
 
 
+def test_rules_reject_bad_documents_by_default(spark):
+    """On labelled documents that weren't used to choose the band."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = rules.quality_rules(docs).where("NOT base_failed").join(labels, "doc_id").select("doc_id", "quality", "kept").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 2]
+    bad, good = ([r["kept"] for r in held if r["quality"] == q] for q in (0, 1))
+    assert len(bad) >= 8 and sum(bad) <= 0.3 * len(bad) and sum(good) >= 0.93 * len(good)
+
+
 def test_byte_coding():
     rng = np.random.default_rng(4)
     for n in (0, 1, 3, 4, 5, 1000):
