@@ -186,13 +186,23 @@ def sync_queue(spark, sf_dir):
 
 @query(f"WITH {_E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id, i AS n, CAST(0 AS BIGINT) AS v FROM c, range(0, 8) t(i) WHERE i >= c.n % 8 AND c.n % 8 > 0 UNION ALL SELECT user_id, n, v FROM e WHERE n < 8 AND n % 8 < 8")
 def pad_blocks(spark, sf_dir):
-    """The first eight rows of each stream, and the silence that fills its last block."""
+    """The first eight rows of each stream, and the silence that fills its last block; pad_streams has whole streams."""
     rows = _numbered(spark, sf_dir)
     counts = rows.groupBy("user_id").agg(F.count("*").alias("c")).where("c % 8 > 0")
     silence = counts.select("user_id", F.explode(F.sequence(F.col("c") % 8, F.lit(7).cast("long"))).alias("n"), F.lit(0).cast("long").alias("v"))
     return silence.unionByName(rows.where("n < 8").select("user_id", "n", "v"))
 
 
+@query(f"WITH {_E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id, n, v FROM e UNION ALL SELECT user_id, c.n + i AS n, CAST(0 AS BIGINT) AS v FROM c, range(0, 8) t(i) WHERE c.n % 8 > 0 AND i < 8 - c.n % 8")
+def pad_streams(spark, sf_dir):
+    """All rows of each stream, and after its last one the silence that fills its last block of eight."""
+    rows = _numbered(spark, sf_dir).select("user_id", "n", "v")
+    counts = rows.groupBy("user_id").agg(F.count("*").alias("c")).where("c % 8 > 0")
+    end = F.col("c") + 7 - F.col("c") % 8
+    silence = counts.select("user_id", F.explode(F.sequence(F.col("c"), end)).alias("n"), F.lit(0).cast("long").alias("v"))
+    return rows.unionByName(silence)
+
+
 @query("WITH d AS (SELECT max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS span, min((epoch_us(ts) // 1000)) AS begin FROM events WHERE event_type = 'click') SELECT event_id, (epoch_us(ts) // 1000) - begin AS at FROM events, d WHERE event_type = 'click' UNION ALL SELECT event_id, (epoch_us(ts) // 1000) - (SELECT min((epoch_us(ts) // 1000)) FROM events WHERE event_type = 'view') + span AS at FROM events, d WHERE event_type = 'view'")
 def concat_segments(spark, sf_dir):
     """One segment after another, the second moved by the length of the first."""
