@@ -13,20 +13,34 @@ from siltbed.plans.registry import query, table
 
 @query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS channel, round(CAST(embedding[i] AS DOUBLE), 5) AS x FROM embeddings, range(1, 65) t(i) WHERE i <= 4")
 def channel_split(spark, sf_dir):
-    """The first four channels of each frame as rows of their own."""
+    """The first four channels of each frame as rows of their own; channel_rows has all of them."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("channel", "x"))
     return rows.select("vec_id", "channel", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("SELECT vec_id, round(CAST(embedding[64] AS DOUBLE), 5) AS first, round(CAST(embedding[1] AS DOUBLE), 5) AS last, round(CAST(embedding[9] AS DOUBLE), 5) AS second_row FROM embeddings")
 def flip_frames(spark, sf_dir):
-    """Frames turned over, and the first cell of the second row before it."""
+    """Frames turned over, and the first cell of the second row before it; flip_cells has the whole frames."""
     turned = F.reverse("embedding")
     cells = (turned[0].alias("first"), turned[63].alias("last"), F.col("embedding")[8].alias("second_row"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", *cells)
     return rows.select("vec_id", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("first", "last", "second_row")))
 
 
+@query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS channel, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings")
+def channel_rows(spark, sf_dir):
+    """Every channel of each frame as rows of its own."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("channel", "x"))
+    return rows.select("vec_id", "channel", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS cell, round(CAST(unnest(list_reverse(embedding)) AS DOUBLE), 5) AS x FROM embeddings")
+def flip_cells(spark, sf_dir):
+    """Every cell of the frames turned over."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.reverse("embedding")).alias("cell", "x"))
+    return rows.select("vec_id", "cell", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 @query("SELECT event_id, CAST(event_id % 2 AS INTEGER) AS field, round(least(1000.0, greatest(-1000.0, value + 0.25)), 6) AS shifted FROM events WHERE event_id % 2 = 1")
 def field_and_shift(spark, sf_dir):
     """The odd rows, moved by a constant within bounds."""

@@ -17,3 +17,11 @@ def test_pad_streams(spark):
         assert sorted(rows) == list(range(-(-n // 8) * 8)) and not any(rows[k] for k in range(n, len(rows)))
     total = spark.read.parquet(f"{SF}/events.parquet").agg(F.sum(F.round(F.col("value") * 1000).cast("long"))).first()[0]
     assert sum(v for rows in got.values() for v in rows.values()) == total
+
+
+def test_channels_and_flips(spark):
+    frames = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    for name, at, turn in (("channel_rows", "channel", 1), ("flip_cells", "cell", -1)):
+        got = {(r["vec_id"], r[at]): r["x"] for r in QUERIES[name](spark, SF).collect()}
+        want = {(k, i): round(x, 5) for k, frame in frames.items() for i, x in enumerate(frame[::turn])}
+        assert got.keys() == want.keys() and all(abs(got[k] - x) < 1.5e-5 for k, x in want.items())
