@@ -18,7 +18,7 @@ from siltbed.llm.shared import word_count
 
 #: Documents of one (source, length) that are ranked in one task, about.
 RANKED = 20_000
-#: Most states of the dynamic programme.
+#: States of the dynamic programme, unless documents are so long that they need more.
 STATES = 1 << 17
 
 
@@ -44,25 +44,30 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, mo
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of ``counts`` documents of each length to take, for a sum as near below ``budget`` as can be found.
 
-    Each length gets its proportional part; then whole documents from the longest on until less than STATES remains;
-    the rest is a bounded knapsack whose state is the sum reached, by binary splitting of the counts.
+    Each length gets its proportional part; then whole documents from the longest on until less than half of the states
+    remains; the rest is a bounded knapsack whose state is the sum reached, by binary splitting of the counts. Where
+    documents are long, the states follow the longest one, and eight times its length is held back from the
+    proportional parts, so that a few of them are searched exactly and what remains always fits the states.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > 0 else np.zeros_like(counts)
+    longest = int(lengths.max())
+    long = longest > STATES // 4
+    states = 32 * longest if long else STATES
+    shared_out = max(0, budget - 8 * longest if long else budget)
+    take = np.floor(counts * (shared_out / total)).astype(np.int64)
     left = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths, kind="stable"):
-        if left < STATES // 2 or left < lengths[i]:
+        if left < states // 2 or left < lengths[i]:
             continue
-        more = min(int(counts[i] - take[i]), (left - STATES // 4) // max(1, int(lengths[i])))
+        more = min(int(counts[i] - take[i]), (left - states // 4) // max(1, int(lengths[i])))
         if more > 0:
             take[i] += more
             left -= more * int(lengths[i])
     if left <= 0:
         return take
-    left = min(left, STATES)
     made_by = np.full(left + 1, -1, np.int32)  # the item at which a sum was first reached
     reached = np.zeros(left + 1, bool)
     reached[0] = True

@@ -106,6 +106,23 @@ def test_water_fill_and_fit():
         assert (taken <= counts).all() and (taken >= 0).all() and max(reach) - 40 <= (lengths * taken).sum() <= budget
 
 
+def test_fit_with_long_documents():
+    one = np.ones(2, np.int64)
+    assert mixing.nearest(np.array([180_000, 190_000]), one, 200_000).tolist() == [0, 1]
+    assert mixing.fit(np.array([150_000, 170_000]), np.array([2, 1]), 300_000).tolist() == [2, 0]
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(40_000, 250_000, 8))
+        counts = rng.integers(1, 3, len(lengths))
+        for budget in rng.integers(0, (lengths * counts).sum() + 1, 3).tolist():
+            taken = mixing.fit(lengths, counts, budget)
+            reach = {0}
+            for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+                reach |= {s + n * k for s in reach for k in range(c + 1) if s + n * k <= budget}
+            few = budget <= 8 * lengths.max()
+            assert (taken <= counts).all() and (taken >= 0).all() and max(reach) - (0 if few else 0.001 * budget) <= (lengths * taken).sum() <= budget
+
+
 def brute_repeats(texts, width):
     seen, out = set(), {}
     for key, t in sorted(texts.items()):
