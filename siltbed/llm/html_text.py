@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are sorted by host and path over range partitions, so a host of any size spreads over tasks, and each page is
-paired with the neighbour in that order whose path shares more leading parts. Text lines of the two are aligned by
+paired with the neighbour in that order whose path shares more leading parts. The first and last page of a partition
+meet their neighbours of other partitions in a second step, over a table of at most two pages for each. Text lines of the two are aligned by
 their longest common subsequence and the shared ones deleted: what two near pages of a site share is its frame.
 
 Two kinds of lines aren't left to that alone. Lines in elements that can't be main text (navigation, footers, forms,
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import text_or_empty
+from siltbed.llm.shared import cut, text_or_empty
 
 #: Names of elements by their part in a page.
 RAW = "script style title textarea noscript iframe xmp template noembed noframes svg math select object canvas".split()
@@ -210,49 +212,115 @@ def _near(path: str, other: str) -> int:
     return n
 
 
+def _coded(page: list[tuple[int, str]]) -> str:
+    """A page's lines as one string; white space in them is single spaces already."""
+    return "\n".join(f"{zone}{text}" for zone, text in page)
+
+
+def _decoded(coded: str) -> list[tuple[int, str]]:
+    return [(int(x[0]), x[1:]) for x in coded.split("\n")] if coded else []
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Html as coded lines: without markup and frame they take less room than pages where they are dealt."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 200):
+            part = batch.slice(begin, 200)
+            pages = [_coded(lines(x or "")) for x in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(pages, pa.string())], [*part.schema.names[:2], "page"])
+
+
+#: part and place (0 the first page, 1 the last one or only one) order the pages at borders; score and before tell the
+#: neighbour in the partition, if there is one; page is the page's own lines.
+_BORDER = "border struct<part: int, place: int, host: string, path: string, score: int, before: boolean, page: string>"
+_BORDER_TYPE = pa.struct([("part", pa.int32()), ("place", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("score", pa.int32()), ("before", pa.bool_()), ("page", pa.string())])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by host and path: each page stands between its two neighbours."""
+    """Sorted by host and path: each page stands between its two neighbours. The first and last page have a border."""
+    context = TaskContext.get()
+    number = context.partitionId() if context else 0
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def near(me: tuple, *others: tuple | None) -> list | None:
+    def near(me: tuple, *others: tuple | None) -> tuple | None:
         fit = [(_near(me[1], o[1]), -k, o[4]) for k, o in enumerate(others) if o is not None and o[0] == me[0]]
-        return max(fit, key=lambda x: x[:2])[2] if fit else None
+        return max(fit, key=lambda x: x[:2]) if fit else None
 
     done: list[tuple] = []
     size = 0
 
+    def add(last: tuple | None, now: tuple, following: tuple | None) -> None:
+        nonlocal size
+        found = near(now, last, following)
+        text = main_text(now[4], found[2] if found else None)
+        border = None
+        if last is None or following is None:
+            border = (number, int(following is None), now[0], now[1], found[0] if found else None, found[1] == 0 and last is not None if found else None, _coded(now[4]))
+            border = dict(zip((f.name for f in _BORDER_TYPE), border, strict=True))
+        done.append((now[2], now[3], text, border))
+        size += len(text)
+
     def out() -> pa.RecordBatch:
-        ids, urls, texts = zip(*done, strict=True) if done else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        ids, urls, texts, borders = zip(*done, strict=True) if done else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(borders, _BORDER_TYPE)], ["page_id", "url", "text", "border"])
 
     last = now = None
     for row in rows():
-        following = (*row[:4], lines(row[4] or ""))
+        following = (*row[:4], _decoded(row[4]))
         if now is not None:
-            done.append((now[2], now[3], main_text(now[4], near(now, last, following))))
-            size += len(done[-1][2])
+            add(last, now, following)
         last, now = now, following
         if size > 4_000_000:
             yield out()
             done, size = [], 0
     if now is not None:
-        done.append((now[2], now[3], main_text(now[4], near(now, last))))
+        add(last, now, None)
     yield out()
 
 
+def _at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages at borders beside those before and after them in the order of all borders."""
+    for batch in batches:
+        texts = []
+        for text, me, before, after in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            best = (me["score"], me["before"]) if me["score"] is not None else None
+            # only what lies in another partition: the neighbour in the same one was compared already
+            for other, is_before in ((before, True), (after, False)):
+                if other is not None and other["part"] != me["part"] and other["host"] == me["host"]:
+                    here = (_near(me["path"], other["path"]), is_before)
+                    if best is None or here > best:
+                        best = here
+                        text = main_text(_decoded(me["page"]), _decoded(other["page"]))
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every page.
 
     Null and empty html give an empty text. A null url is a host of its own. Repeated rows are pages of their own, and
-    near each other. A page without a neighbour of its host in its partition is not compared. Markup that is cut off
-    is read as far as it goes. Other columns are not read. An empty table gives no rows.
+    near each other. A page that is the only one of its host is not compared. Markup that is cut off is read as far as
+    it goes. Other columns are not read. An empty table gives no rows.
     """
-    url = F.lower(text_or_empty(url_col))
+    plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    parsed = plain.mapInArrow(_parse, "page_id long, url string, page string")
+    url = F.lower(text_or_empty("url"))
     host = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//(?:www\.)?([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    plain = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    dealt = plain.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.mapInArrow(_extract, "page_id long, url string, text string")
+    # host and path are made again after pages are dealt, so that they aren't dealt beside the url
+    dealt = parsed.repartitionByRange(host, path, "page_id").sortWithinPartitions(host, path, "page_id")
+    dealt = dealt.select(host.alias("host"), path.alias("path"), "page_id", "url", "page")
+    texts = cut(dealt.mapInArrow(_extract, f"page_id long, url string, text string, {_BORDER}"), "texts")
+    borders = texts.where("border IS NOT NULL")
+    # numbers of two rows for each partition; their pages are joined to them
+    rank = F.row_number().over(Window.orderBy("part", "place"))
+    order = F.broadcast(borders.select("border.part", "border.place").withColumn("k", rank))
+    numbered = borders.join(order, (F.col("border.part") == F.col("part")) & (F.col("border.place") == F.col("place"))).drop("part", "place")
+    before = numbered.select((F.col("k") + 1).alias("k"), F.col("border").alias("before"))
+    after = numbered.select((F.col("k") - 1).alias("k"), F.col("border").alias("after"))
+    joined = numbered.join(before, "k", "left").join(after, "k", "left").select("page_id", "url", "text", "border", "before", "after")
+    met = joined.mapInArrow(_at_borders, "page_id long, url string, text string")
+    return texts.where("border IS NULL").drop("border").unionByName(met)

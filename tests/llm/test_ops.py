@@ -277,6 +277,29 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_does_not_depend_on_partitions(spark):
+    """Pages without a marked article, in hosts of one to three pages, over more partitions than hosts."""
+    rng = random.Random(8)
+    rows = []
+    for host in range(12):
+        for page in range(rng.randrange(1, 4)):
+            path = f"{rng.choice('ab')}/{page}"
+            rows.append((len(rows), f"http://h{host:02}.org/{path}", f"<p>Menu {host}</p><p>Part {path[0]} of {host}</p><p>Text {len(rows)}</p><p>End {host}</p>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = []
+        for n in (1, 2, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, html_text.extract_main_text(df).collect())))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got[0]) == len(rows) and any("Menu" not in r[2] for r in got[0])
+    assert got[1] == got[0] and got[2] == got[0] and got[3] == got[0]
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(300):
