@@ -1,9 +1,11 @@
 """Quality rules: counts about a text, and bands of n-gram perplexity for each language.
 
-The language model is a modified Kneser-Ney model of character trigrams for each language. Characters become 8-bit
-symbols (ASCII as it is, others by a hash into the upper half), so a trigram's hash is its packed 24 bits and a model
-never has more than 2**24 entries whatever the corpus. Spark counts the trigrams of all documents; the driver turns the
-counts into sorted hash arrays of probabilities and dense tables for what is not found there; those are broadcast.
+The language model is an interpolated modified Kneser-Ney model of character trigrams for each language. Three code points
+of 21 bits are one 63-bit number, so a trigram is its own hash: no two characters share a symbol, no two trigrams an
+entry, and the model grows with what the corpus has. Spark counts the trigrams of all documents, and joins of the counts
+with their contexts give every trigram its probability. Texts are scored against sorted arrays of trigrams: below a size
+that is measured first, those of the whole model, which are broadcast; beyond it texts are dealt to blocks, and each block gets the arrays
+of the trigrams that it has.
 """
 
 from __future__ import annotations
@@ -13,16 +15,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import WORD, cut
+from siltbed.llm.shared import WORD, cut, slices, text_or_empty
 
 _WORD = re.compile(WORD)
 _SIGN = re.compile(r"[#*$%&|<>]")
 
 #: Symbols 0 and 1 stand before and after a text.
 START, END = 0, 1
+#: Bytes of trigrams and logarithms that are broadcast at most; beyond it texts are dealt to blocks of BLOCK_BYTES.
+BROADCAST_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Discounts where a count of counts is 0, and the most and least that they may be.
+NO_DISCOUNTS, MOST_DISCOUNTS, LEAST_DISCOUNT = (0.5, 1.0, 1.5), (0.95, 1.9, 2.9), 0.05
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -52,22 +59,19 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def symbols(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one array of 8-bit symbols, each with two starts before it and an end after; and where each begins."""
-    whole = ("\0\0" + "\1\0\0".join(x.replace("\0", "\2").replace("\1", "\2") for x in texts) + "\1").encode("utf-32-le", "replace")
-    points = np.frombuffer(whole, "<u4")
-    high = 128 + ((points * np.uint32(2654435761)) >> np.uint32(25))
-    syms = np.where(points < 128, points, high).astype(np.uint8)
+    """All texts as one array of code points, each with two starts before it and an end after; and where each begins."""
+    whole = "\0\0" + "\1\0\0".join(x.replace("\0", "\2").replace("\1", "\2") for x in texts) + "\1"
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
-    return syms, np.cumsum(lengths) - lengths
+    return np.frombuffer(whole.encode("utf-32-le", "replace"), "<u4"), np.cumsum(lengths) - lengths
 
 
-def trigrams(syms: np.ndarray) -> np.ndarray:
+def trigrams(points: np.ndarray) -> np.ndarray:
     """The packed trigram that ends at each symbol from the third on; those that end at a start are no trigram."""
-    wide = syms.astype(np.uint32)
-    return wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    wide = points.astype(np.int64)
+    return wide[:-2] << 42 | wide[1:-1] << 21 | wide[2:]
 
 
-def _chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
+def _chunks(texts: list[str], chars: int = 256_000) -> Iterator[slice]:
     begin = held = 0
     for end, t in enumerate(texts, 1):
         held += len(t)
@@ -76,114 +80,175 @@ def _chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
             begin, held = end, 0
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of some sorted or unsorted parts, and their summed counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for part in _chunks(texts):
+        points, _ = symbols(texts[part])
+        keys = np.sort(trigrams(points)[points[2:] != START])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        yield keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(block, lang, gram, n) of a task; the counts leave it when there are many, so it never holds more."""
+    held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
 
-    def joined(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    def out() -> Iterator[pa.RecordBatch]:
+        for (block, lang), parts in held.items():
+            keys, counts = _joined(parts)
+            cols = [pa.array(np.full(len(keys), block)), pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "lang", "gram", "n"])
 
     for batch in batches:
-        by: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                by.setdefault(lang or "", []).append(text)
-        for lang, texts in by.items():
-            parts = held.setdefault(lang, [])
-            for part in _chunks(texts):
-                syms, _ = symbols(texts[part])
-                keys = np.sort(trigrams(syms)[syms[2:] != START])
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                parts.append((keys[first], np.diff(np.append(first, len(keys)))))
-            held[lang] = [joined(parts)]
-    for lang, parts in held.items():
-        keys, counts = joined(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    if min(n) == 0:
-        return np.array([0.5, 1.0, 1.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)], 0.05, [0.95, 1.9, 2.9])
-
-
-def _level(counts: np.ndarray, context: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted share of each n-gram in its context, and what each of ``size`` contexts leaves for the lower order."""
-    d = _discounts(counts)[np.minimum(counts, 3) - 1]
-    total = np.bincount(context, counts, size)
-    left = np.ones(size)
-    seen = total > 0
-    left[seen] = np.bincount(context, d, size)[seen] / total[seen]
-    return (counts - d) / total[context], left
+        for part in slices(batch, 2):
+            by: dict[tuple, list[str]] = {}
+            for block, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if text:
+                    by.setdefault((block, lang), []).append(text)
+            for key, texts in by.items():
+                parts = held.setdefault(key, [])
+                parts += _counted(texts)
+                if len(parts) > 16:
+                    parts[:] = [_joined(parts)]
+            size = sum(len(p[0]) for parts in held.values() for p in parts)
+            if size > 2_000_000:
+                yield from out()
+                held.clear()
+    yield from out()
+
+
+def _discounts(grams: DataFrame, level: int) -> DataFrame:
+    """(lang, level, d1, d2, d3): the modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
+    n = [F.count_if(F.col("n") == k).cast("double") for k in range(1, 5)]
+    by = grams.groupBy("lang").agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    known = F.least("n1", "n2", "n3", "n4") > 0
+    d = [F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(MOST_DISCOUNTS[k - 1]), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))) for k in (1, 2, 3)]
+    return by.select("lang", F.lit(level).alias("level"), *(F.when(known, x).otherwise(F.lit(NO_DISCOUNTS[k])).alias(f"d{k + 1}") for k, x in enumerate(d)))
+
+
+def model_of(counts: DataFrame) -> DataFrame:
+    """(lang, gram, bits) of every counted trigram (lang, gram, n): -log2 of its last symbol's probability after the two
+    before it. Every step is an aggregate, a window or a join by language and n-gram; a window's group has a row for each
+    symbol of an alphabet at most."""
+    pairs = counts.groupBy("lang", F.col("gram").bitwiseAND((1 << 42) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    pairs = cut(pairs, "pairs")
+    singles = pairs.groupBy("lang", F.col("gram").bitwiseAND((1 << 21) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    # a few rows for each language, written so that Spark knows the size and broadcasts them only below its threshold
+    discounts = cut(_discounts(singles, 1).unionByName(_discounts(pairs, 2)).unionByName(_discounts(counts, 3)), "discounts")
+
+    def level(grams: DataFrame, number: int, *context: Column) -> DataFrame:
+        own = discounts.where(F.col("level") == number).drop("level")
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        here = grams.join(own, "lang").withColumn("d", d).drop("d1", "d2", "d3")
+        over = Window.partitionBy("lang", *context)
+        total = F.sum("n").over(over)
+        return here.select("lang", "gram", ((F.col("n") - F.col("d")) / total).alias("share"), (F.sum("d").over(over) / total).alias("left"), F.count("*").over(over).alias("kinds"))
+
+    before = F.shiftright("gram", 21)
+    one = level(singles, 1).select("lang", F.col("gram").alias("last"), (F.col("share") + F.col("left") / F.col("kinds")).alias("lower"))
+    two = level(pairs, 2, before).withColumn("last", F.col("gram").bitwiseAND((1 << 21) - 1)).join(one, ["lang", "last"])
+    two = two.select("lang", F.col("gram").alias("last"), (F.col("share") + F.col("left") * F.col("lower")).alias("lower"))
+    three = level(counts, 3, before).withColumn("last", F.col("gram").bitwiseAND((1 << 42) - 1)).join(two, ["lang", "last"])
+    return three.select("lang", "gram", (-F.log2(F.col("share") + F.col("left") * F.col("lower"))).cast("float").alias("bits"))
 
 
 class Model:
-    """One language: sorted trigram hashes with their log2 probabilities, and dense tables for all others."""
+    """Sorted trigrams of one language with their bits; it has every trigram of the texts that it is asked for."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, bits: np.ndarray):
         order = np.argsort(grams)
-        grams, counts = grams[order].astype(np.int64), counts[order].astype(np.int64)
-        pairs, continued = np.unique(grams & 0xFFFF, return_counts=True)  # how many symbols come before each pair
-        singles = np.bincount(pairs & 0xFF, minlength=256)
-        kinds = np.flatnonzero(singles)
-        share1, left1 = _level(singles[kinds], np.zeros(len(kinds), np.int64), 1)
-        p1 = np.full(256, left1[0] / 256)
-        p1[kinds] += share1
-        share2, left2 = _level(continued, pairs >> 8, 256)
-        p2 = np.repeat(left2, 256) * np.tile(p1, 256)
-        p2[pairs] += share2
-        share3, left3 = _level(counts, grams >> 8, 1 << 16)
-        p3 = share3 + left3[grams >> 8] * p2[grams & 0xFFFF]
-        self.grams, self.logs = grams.astype(np.uint32), np.log2(p3).astype(np.float32)
-        self.pair_logs, self.left_logs = np.log2(p2).astype(np.float32), np.log2(left3).astype(np.float32)
-
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """-log2 of each trigram's last symbol's probability after the two before it."""
-        at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-        backed = self.left_logs[keys >> 8] + self.pair_logs[keys & np.uint32(0xFFFF)]
-        return -np.where(self.grams[at] == keys, self.logs[at], backed)
+        self.grams, self.bits = grams[order], bits[order]
+
+    def of(self, keys: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """The bits of each key; 0 where it isn't real. Each different key is looked up once."""
+        found, where = np.unique(keys[real], return_inverse=True)
+        at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
+        if not np.array_equal(self.grams[at], found):
+            raise ValueError("a text has a trigram that wasn't counted")
+        out = np.zeros(len(keys))
+        out[real] = self.bits[at][where]
+        return out
 
 
 def bits_per_char(model: Model | None, texts: list[str]) -> np.ndarray:
     """log2 of each text's perplexity; an empty text has 0."""
-    out = np.zeros(len(texts))
-    if model is None:
-        return out
-    for part in _chunks(texts):
-        syms, starts = symbols(texts[part])
-        bits = model.bits(trigrams(syms))
-        bits[syms[2:] == START] = 0
-        ends = np.append(starts[1:], len(syms)) - 2
-        sums = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
-        n = ends - starts
+    full = [t for t in texts if t]
+    bits_of = np.zeros(len(full))
+    for part in _chunks(full):
+        points, starts = symbols(full[part])
+        bits = model.of(trigrams(points), points[2:] != START)
+        ends = np.append(starts[1:], len(points)) - 2
+        sums = np.concatenate([[0.0], np.cumsum(bits)])
         # a text of n characters has n + 1 scored symbols
-        out[part] = (sums[np.minimum(ends, len(bits))] - sums[starts]) / np.maximum(n, 1)
-    out[[not t for t in texts]] = 0.0
+        bits_of[part] = (sums[np.minimum(ends, len(bits))] - sums[starts]) / (ends - starts)
+    out = np.zeros(len(texts))
+    out[[bool(t) for t in texts]] = bits_of
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """The models of all languages; a null language is "". Counts cover every document."""
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, gram long, n long")
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most 2**24 rows for each language
-    return {lang: Model(g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in rows.groupby("lang")}
+_MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits_per_char", "rule_lang", "rule_chars"]
+
+
+def _rows(batch: pa.RecordBatch, models: dict[str, Model], n_carried: int) -> pa.RecordBatch:
+    texts = [t or "" for t in batch.column(n_carried + 1).to_pylist()]
+    langs = batch.column(n_carried).to_pylist()
+    bits = np.zeros(len(texts))
+    for lang in set(langs):
+        own = [i for i, x in enumerate(langs) if x == lang]
+        bits[own] = bits_per_char(models.get(lang), [texts[i] for i in own])
+    counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
+    made = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(bits), pa.array(langs, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+    return pa.RecordBatch.from_arrays([*batch.columns[:n_carried], *made], [*batch.schema.names[:n_carried], *_MADE])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], models: dict[str, Model], n_carried: int) -> Iterator[pa.RecordBatch]:
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     for batch in batches:
-        texts = [t or "" for t in batch.column(n_carried + 1).to_pylist()]
-        langs = [x or "" for x in batch.column(n_carried).to_pylist()]
-        bits = np.zeros(len(texts))
-        for lang in set(langs):
-            own = [i for i, x in enumerate(langs) if x == lang]
-            bits[own] = bits_per_char(models.get(lang), [texts[i] for i in own])
-        counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-        made = [pa.array(counts[:, k]) for k in range(5)] + [pa.array(bits), pa.array(langs), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], *made], [*batch.schema.names[:n_carried], *names, "bits_per_char", "rule_lang", "rule_chars"])
+        for part in slices(batch, n_carried + 1):
+            yield _rows(part, models, n_carried)
+
+
+def _models(table: pa.Table) -> dict[str, Model]:
+    """The models in rows (lang, gram, bits)."""
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    code, grams, bits = langs.indices.to_numpy(zero_copy_only=False), table.column("gram").to_numpy(), table.column("bits").to_numpy()
+    return {lang: Model(grams[code == k], bits[code == k]) for k, lang in enumerate(langs.dictionary.to_pylist())}
+
+
+def scored_texts(plain: DataFrame) -> DataFrame:
+    """The columns of ``plain`` but its last two, the language and the text, then counts and bits_per_char of each row."""
+    spark, n_carried = plain.sparkSession, len(plain.columns) - 2
+    lang, text = plain.columns[-2:]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:n_carried])
+    made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits_per_char double, rule_lang string, rule_chars long"
+    schema = f"{fields}, {made}" if fields else made
+    tally = "block long, lang string, gram long, n long"
+    counts = plain.select(F.lit(0).cast("long").alias("block"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count, tally)
+    model = cut(model_of(cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")), "model")
+    if 12 * model.count() <= BROADCAST_BYTES:
+        sent = spark.sparkContext.broadcast(_models(model.toArrow()))
+        return plain.mapInArrow(lambda it: _scored(it, sent.value, n_carried), schema)
+    size = plain.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 1
+    n_blocks = -(-size // BLOCK_BYTES)
+    # both sides of the cogroup and the counts of each block read one exchange of the texts
+    dealt = plain.withColumn("_block", F.pmod(F.xxhash64(*plain.columns), F.lit(n_blocks))).repartition("_block")
+    own = dealt.select(F.col("_block").alias("block"), F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count, tally)
+    parts = own.join(model, ["lang", "gram"]).select(F.col("block").alias("_block"), "lang", "gram", "bits").distinct()
+
+    def score(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        models = _models(grams) if grams.num_rows else {}
+        return pa.Table.from_batches([r for b in texts.drop_columns("_block").to_batches() for r in _scored(iter([b]), models, n_carried)])
+
+    return dealt.groupBy("_block").cogroup(parts.groupBy("_block")).applyInArrow(score, schema)
 
 
 def quality_rules(
@@ -193,8 +258,8 @@ def quality_rules(
     lang_col: str = "lang",
     least_words: int = 50,
     most_repeated: int = 50,
-    upper: float = 3.0,
-    lower: float = 10.0,
+    upper: float = 4.0,
+    lower: float = 4.0,
 ) -> DataFrame:
     """Every row of ``docs``: the columns ``carry``, the counts n_words, word_chars, n_symbols, n_dup_lines and
     n_repeat_words, base_failed, bits_per_char (log2 of the perplexity) and kept.
@@ -203,31 +268,28 @@ def quality_rules(
     three. kept: not base_failed, and bits_per_char within its language's band. The band stands around the median m of
     the language's documents that haven't base_failed: from m - ``lower`` * s to m + ``upper`` * s, where s is half the
     distance of the quartiles, widened for short texts as their mean has a larger deviation. ``upper`` was chosen on
-    the labelled documents of sf0.1 with crc32(doc_id) even: of 2, 2.5, 3, ... the first that rejects at most 3 percent of
-    the good ones. Below the median there are no bad ones to tell apart, so ``lower`` only holds off the extreme.
+    the labelled documents of sf0.1 with crc32(doc_id) even: of 2, 3, 4, ... the first that rejects at most 2 percent of
+    the good ones; ``lower`` likewise for 0.1 percent.
 
-    Null and empty texts have counts of 0 and have base_failed. A null language is one of its own. Repeated rows count
-    as often as they come. Carried columns keep their names; a carried column of an added name must be renamed before.
-    An empty table gives no rows.
+    Null and empty texts have counts of 0 and have base_failed. A null language is one of its own, and "" is the same. Repeated rows count
+    as often as they come. Carried columns keep their names; a carried column of an added name is an error, as it must be
+    renamed before. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(train(docs, text_col, lang_col))
-    plain = docs.select(*carry, F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    n_carried = len(carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:n_carried])
-    schema = f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits_per_char double, rule_lang string, rule_chars long"
-    scored = cut(plain.mapInArrow(lambda it: _scored(it, sent.value, n_carried), schema), "scored")
+    if clash := set(carry) & {*_MADE, "base_failed", "kept"}:
+        raise ValueError(f"rename before: {', '.join(sorted(clash))}")
+    plain = docs.select(*carry, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_rule_lang"), F.col(text_col).alias("_rule_text"))
+    scored = cut(scored_texts(plain), "scored")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     bands = (
         scored.where(~failed)
         .groupBy("rule_lang")
-        .agg(F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"), F.percentile_approx("rule_chars", 0.5).alias("usual_chars"))
-        .select(F.col("rule_lang").alias("_band_lang"), F.col("q")[1].alias("_mid"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("_half"), "usual_chars")
+        .agg(F.percentile_approx("bits_per_char", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"), F.percentile_approx("rule_chars", 0.5).alias("_usual_chars"))
+        .select(F.col("rule_lang").alias("_band_lang"), F.col("q")[1].alias("_mid"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("_half"), "_usual_chars")
     )
-    # one row for each language, so its size doesn't follow the documents
-    joined = scored.join(F.broadcast(bands), F.col("rule_lang") == F.col("_band_lang"), "left")
-    wide = F.greatest(F.col("_half"), F.lit(0.005)) * F.greatest(F.lit(1.0), F.sqrt(F.col("usual_chars") / F.greatest(F.col("rule_chars"), F.lit(1))))
+    # written, so that Spark knows its size; it broadcasts the bands only below its own threshold
+    joined = scored.join(cut(bands, "bands"), F.col("rule_lang") == F.col("_band_lang"), "left")
+    wide = F.greatest(F.col("_half"), F.lit(0.005)) * F.greatest(F.lit(1.0), F.sqrt(F.col("_usual_chars") / F.greatest(F.col("rule_chars"), F.lit(1))))
     away = F.col("bits_per_char") - F.col("_mid")
     inside = F.coalesce((away <= upper * wide) & (away >= -lower * wide), F.lit(True))
     out = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
-    return out.drop("_band_lang", "_mid", "_half", "usual_chars", "rule_lang", "rule_chars")
+    return out.drop("_band_lang", "_mid", "_half", "_usual_chars", "rule_lang", "rule_chars")

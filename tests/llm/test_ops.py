@@ -180,9 +180,9 @@ def brute_counts(t):
 
 
 def brute_bits(texts):
-    """Interpolated modified Kneser-Ney over symbols, with dictionaries."""
+    """Interpolated modified Kneser-Ney over characters, with dictionaries."""
     def syms(t):
-        return [0, 0] + [c if c < 128 else 128 + ((c * 2654435761 & 0xFFFFFFFF) >> 25) for c in (max(2, ord(x)) if ord(x) < 2 else ord(x) for x in t)] + [1]
+        return [0, 0] + [max(2, ord(x)) for x in t] + [1]
 
     c3 = Counter(g for t in texts if t for s in [syms(t)] for g in zip(s, s[1:], s[2:], strict=False))
     c2 = Counter((b, c) for _, b, c in c3)
@@ -204,13 +204,16 @@ def brute_bits(texts):
     s3, l3 = level(c3, lambda g: g[:2])
     s2, l2 = level(c2, lambda g: g[0])
     s1, l1 = level(c1, lambda g: ())
-    p1 = lambda c: s1(c) + l1(()) / 256
+    p1 = lambda c: s1(c) + l1(()) / len(c1)
     p2 = lambda b, c: s2((b, c)) + l2(b) * p1(c)
     p3 = lambda a, b, c: s3((a, b, c)) + l3((a, b)) * p2(b, c)
     return {t: -float(np.mean([np.log2(p3(*g)) for s in [syms(t)] for g in zip(s, s[1:], s[2:], strict=False)])) for t in set(texts) if t}
 
 
-def test_rules(docs, none, by_id):
+@pytest.mark.parametrize("limit", [rules.BROADCAST_BYTES, -1])
+def test_rules(docs, none, by_id, monkeypatch, limit):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(rules, "BLOCK_BYTES", 20_000)
     got = {r["doc_id"]: r for r in rules.quality_rules(docs, carry=("doc_id", "size", "lang")).collect()}
     assert len(got) == len(by_id)
     bits = {lang: brute_bits([by_id[k] for k, r in got.items() if r["lang"] == lang]) for lang in (None, "en", "de")}
