@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
 # Fixed values of the format.
 SIGNATURE = b"ArC\x01"
+# Fixed values of the 128-bit hash: its usual seed here, multipliers, and the steps of its rounds and of its end.
+MURMUR_SEED = 0x725ACC55DADDCA55
+MURMUR_C1, MURMUR_C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+MURMUR_ADD = (0x52DCE729, 0x38495AB5)
+MURMUR_MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
 def encode_varint(value: int) -> bytes:
@@ -101,3 +109,80 @@ def varint_bytes(value: pd.Series) -> pd.Series:
 @F.pandas_udf(LongType())
 def varint_value(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_varint(bytes(b))[0]).astype("Int64")
+
+
+def hmac_sha256(text: Column, key: bytes) -> Column:
+    """The keyed digest of a text as hexadecimal; the two pads of the key are literals."""
+    short = key if len(key) <= 64 else hashlib.sha256(key).digest()
+    inner, outer = (F.lit(bytes(b ^ pad for b in short.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def murmur3_many(data: list[bytes], seed: int = MURMUR_SEED) -> list[bytes]:
+    """128-bit hashes of some byte strings; block after block, each for all strings that are long enough."""
+    c1, c2 = np.uint64(MURMUR_C1), np.uint64(MURMUR_C2)
+    lengths = np.array([len(b) for b in data], np.int64)
+    size = int(lengths.max(initial=0)) // 16 * 16 + 16
+    words = np.frombuffer(b"".join(b.ljust(size, b"\0") for b in data), "<u8").reshape(len(data), size // 8)
+    h = [np.full(len(data), seed, np.uint64) for _ in range(2)]
+
+    def mixed_in(k: int) -> list[np.ndarray]:
+        return [_turn(words[:, 2 * k] * c1, 31) * c2, _turn(words[:, 2 * k + 1] * c2, 33) * c1]
+
+    for k in range(size // 16 - 1):
+        a, b = mixed_in(k)
+        first = (_turn(h[0] ^ a, 27) + h[1]) * np.uint64(5) + np.uint64(MURMUR_ADD[0])
+        second = (_turn(h[1] ^ b, 31) + first) * np.uint64(5) + np.uint64(MURMUR_ADD[1])
+        full = lengths // 16 > k
+        h = [np.where(full, first, h[0]), np.where(full, second, h[1])]
+    rest = np.zeros((len(data), 2), np.uint64)
+    for i, b in enumerate(data):
+        rest[i] = np.frombuffer(b[len(b) // 16 * 16 :].ljust(16, b"\0"), "<u8")
+    n = lengths.astype(np.uint64)
+    a, b = h[0] ^ _turn(rest[:, 0] * c1, 31) * c2 ^ n, h[1] ^ _turn(rest[:, 1] * c2, 33) * c1 ^ n
+    a = a + b
+    b = b + a
+    ends = []
+    for x in (a, b):
+        for m in MURMUR_MIX:
+            x = (x ^ x >> np.uint64(33)) * np.uint64(m)
+        ends.append(x ^ x >> np.uint64(33))
+    a = ends[0] + ends[1]
+    return [x.tobytes() for x in np.stack([a, ends[1] + a], axis=1).astype("<u8")]
+
+
+@F.pandas_udf(BinaryType())
+def murmur3_128(data: pd.Series) -> pd.Series:
+    there = data.notna()
+    out = pd.Series([None] * len(data), index=data.index, dtype=object)
+    out[there] = murmur3_many([bytes(b) for b in data[there]])
+    return out
+
+
+def cstring(text: Column) -> Column:
+    return F.concat(text.cast("binary"), F.lit(b"\0"))
+
+
+def u32(value: Column) -> Column:
+    """Four bytes of a number below 2**31, the low one first."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
+
+
+def flag(value: Column) -> Column:
+    return F.when(value, F.lit(b"\x01")).otherwise(F.lit(b"\0"))
+
+
+def take_cstring(data: Column) -> tuple[Column, Column]:
+    """The text before the first zero byte, and what follows that byte."""
+    head = "^((?:(?!00)..)*)00"
+    return F.unhex(F.regexp_extract(F.hex(data), head, 1)).cast("string"), F.unhex(F.regexp_replace(F.hex(data), head, ""))
+
+
+def take_u32(data: Column) -> Column:
+    """The number in the first four bytes, the low one first."""
+    raw = F.hex(data)
+    return F.conv(F.concat(*(F.substring(raw, 2 * k + 1, 2) for k in (3, 2, 1, 0))), 16, 10).cast("int")

@@ -10,6 +10,9 @@ PRESETS = {"h264": {"fast": "veryfast", "medium": "medium", "slow": "slow"}, "h2
 DEFAULT_CRF = {"h264": 23, "h265": 28}
 RANGES = {"quality": (0, 51), "bit_depth": (8, 12), "chroma": (0, 2), "encoder": (0, 1), "level": (1, 9), "crf": (0, 51), "zstd": (1, 22)}
 REDUCTION = 70.0
+# Limits of the rules about videos.
+HIGH_KBPS, HIGH_BPP, LARGE_MB, LARGE_PIXELS, FRAME_RATE = 12000.0, 0.12, 150.0, 1920.0 * 1080.0, 30.0
+MODERATE_KBPS, MODERATE_BPP, HEVC_KBPS = 8000.0, 0.10, 10000.0
 
 
 def bitrate(kbps: Column, size: Column, seconds: Column) -> Column:
@@ -17,14 +20,50 @@ def bitrate(kbps: Column, size: Column, seconds: Column) -> Column:
     return F.when((kbps == 0) & (seconds > 0), size * 8.0 / (seconds * 1000.0)).otherwise(kbps)
 
 
+def probe_fields(text: Column) -> list[Column]:
+    """codec, kbps, seconds, width and height of a text of key=value lines. Of a key that comes more than once the last
+    value that is a number counts; a number that never comes is 0."""
+
+    def values(key: str) -> Column:
+        own = F.filter(F.split(text, "\n"), lambda x: x.startswith(f"{key}="))
+        return F.transform(own, lambda x: F.substring(x, len(key) + 2, 1_000_000))
+
+    def number(key: str) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(F.transform(values(key), lambda x: x.try_cast("double")), lambda v: v.isNotNull()), F.lit(-1)), F.lit(0.0))
+
+    codec = F.try_element_at(values("codec_name"), F.lit(-1))
+    return [codec.alias("codec"), (number("bit_rate") / 1000.0).alias("kbps"), number("duration").alias("seconds"), number("width").cast("int").alias("width"), number("height").cast("int").alias("height")]
+
+
+Rational = tuple[Column, Column]
+
+
+def times(x: Rational, y: Rational) -> Rational:
+    return x[0] * y[0], x[1] * y[1]
+
+
+def plus(x: Rational, y: Rational) -> Rational:
+    return x[0] * y[1] + y[0] * x[1], x[1] * y[1]
+
+
+def lowest(num: Column, den: Column) -> Column:
+    """num and den in lowest terms, the sign in num; 1/0 for what is divided by zero, 0/0 for zero by zero."""
+    steps = F.sequence(F.lit(1), F.lit(92))  # Euclid's algorithm needs no more for 63 bits
+    pair = F.struct(F.abs(num).alias("a"), F.abs(den).alias("b"))
+    gcd = F.aggregate(steps, pair, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))["a"]
+    sign = F.when((num < 0) != (den < 0), -1).otherwise(1)
+    shared = F.greatest(gcd, F.lit(1))
+    return F.struct((sign * F.floor(F.abs(num) / shared)).cast("long").alias("num"), F.floor(F.abs(den) / shared).cast("long").alias("den"))
+
+
 def assess(codec: Column, kbps: Column, width: Column, height: Column, size: Column) -> Column:
     """The first rule that a video meets: three say that it is encoded inefficiently, the others that it is well."""
     pixels = width.cast("double") * height.cast("double")
-    bpp = F.when((pixels > 0) & (kbps > 0), kbps * 1000.0 / (pixels * 30.0)).otherwise(F.lit(0.0))
-    large = size / F.lit(1048576.0) > F.lit(150.0) * (pixels / F.lit(1920.0 * 1080.0))
+    bpp = F.when((pixels > 0) & (kbps > 0), kbps * 1000.0 / (pixels * FRAME_RATE)).otherwise(F.lit(0.0))
+    large = size / F.lit(1048576.0) > F.lit(LARGE_MB) * (pixels / F.lit(LARGE_PIXELS))
     return (
-        F.when(kbps > 12000.0, "very_high_bitrate").when(bpp > 0.12, "high_bpp").when(large, "large_file")
-        .when((kbps < 8000.0) & (bpp < 0.10), "moderate").when((codec == "hevc") & (kbps < 10000.0), "hevc").otherwise("reasonable")
+        F.when(kbps > HIGH_KBPS, "very_high_bitrate").when(bpp > HIGH_BPP, "high_bpp").when(large, "large_file")
+        .when((kbps < MODERATE_KBPS) & (bpp < MODERATE_BPP), "moderate").when((codec == "hevc") & (kbps < HEVC_KBPS), "hevc").otherwise("reasonable")
     )
 
 

@@ -108,3 +108,33 @@ def safe_path(path: Column) -> Column:
         lambda a, p: F.struct((a["now"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)).alias("now"), F.least(a["least"], a["now"] + F.when(p == "..", -1).otherwise(0)).alias("least")),
     )
     return F.when(depth["least"] >= 0, clean)
+
+
+def split_encryption(method: Column) -> tuple[Column, Column]:
+    """The first codec of a method, and the others joined again."""
+    parts = F.split(method, r"\+")
+    return parts[0], F.array_join(F.slice(parts, 2, 1000), "+")
+
+
+def zstd_method(level: Column) -> Column:
+    return F.concat(F.lit("zstd:"), level.cast("string"))
+
+
+def lzma_method(dictionary: Column, literal: Column, position: Column, bits: Column) -> Column:
+    named = zip(("LZMA:d", ":l", ":p", ":pb"), (dictionary, literal, position, bits), strict=True)
+    return F.concat(*(x for name, value in named for x in (F.lit(name), value.cast("string"))))
+
+
+def write_metadata(values: dict[str, Column]) -> Column:
+    """A metadata text: its first line, then a line for each value, where special characters stand after a backslash."""
+    escaped = ((k, F.regexp_replace(v, r"([=;#\\\n])", r"\\$1")) for k, v in values.items())
+    return F.concat(F.lit(";FFMETADATA1\n"), *(x for k, v in escaped for x in (F.lit(f"{k}="), v, F.lit("\n"))))
+
+
+def read_metadata(text: Column) -> Column:
+    """The values of a metadata text as a map. A line ends at a line feed that no backslash escapes; lines of comments
+    are left out, and of a key that comes again the last value counts."""
+    lines = F.filter(F.split(text, r"(?<=(?<!\\)(?:\\\\){0,99})\n"), lambda x: x.rlike(r"^[^;#\[].*=") | x.rlike(r"(?s)^[^;#\[][^=]*="))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"(?s)^((?:[^=\\]|\\.)*)=", 1).alias("key"), F.regexp_replace(F.regexp_replace(x, r"(?s)^(?:[^=\\]|\\.)*=", ""), r"(?s)\\(.)", "$1").alias("value")))
+    last = F.filter(pairs, lambda p: ~F.exists(F.slice(pairs, F.array_position(pairs, p).cast("int") + 1, 100_000), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.array_distinct(last))

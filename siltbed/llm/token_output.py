@@ -5,7 +5,8 @@ the values: four two-bit lengths make a control byte, and the value bytes follow
 each control byte up in a table of 256 rows and gathers all values of a block with numpy.
 
 A file is a Parquet table of blocks, so that Spark's commit keeps only whole tasks' output; beside it stands the table
-of ranks. Blocks are in ascending (shard, block) order, and within them documents in ascending id order.
+of ranks. Documents are dealt to shards by ranges of their ids, and a shard is one task's file. Blocks are in ascending
+(shard, block) order, and within them documents in ascending id order.
 """
 
 from __future__ import annotations
@@ -14,19 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import cut, fresh_path
+from siltbed.llm.shared import cut, fresh_path, slices
 from siltbed.llm.tokens import default_path, forget, tokenizer
 
 #: Row c: the lengths in bytes of the four values that control byte c stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k)) & 3 for k in range(4)], axis=1).astype(np.int64) + 1
 
 #: Documents of one shard, about, and value bytes of one block.
-SHARD_DOCS, BLOCK_BYTES = 20_000, 500_000
-#: Most shards; beyond it they hold more documents.
-SHARDS = 2048
+SHARD_DOCS, BLOCK_BYTES = 20_000, 64_000
 
 _DOC = "doc_id long, tie long, n_tokens long, control binary, data binary"
 _BLOCK = "shard long, block long, start long, n_docs long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
@@ -61,8 +61,7 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[
     tok = tokenizer(path)
     end = np.array([end_id], tok.dtype).tobytes()
     for batch in batches:
-        for begin in range(0, batch.num_rows, 2000):
-            part = batch.slice(begin, 2000)
+        for part in slices(batch, 2):
             ids = pa.array([b + end for b in tok.ids_bytes(part.column(2).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
 
@@ -89,8 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.Re
 
 def _encoded(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin in range(0, batch.num_rows, 1000):
-            part = batch.slice(begin, 1000)
+        for part in slices(batch, 2, 1 << 20):
             ids, each = _arrays(part.column(2), dtype)
             ranks = rank[ids]
             ends = np.cumsum(each)
@@ -101,9 +99,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtyp
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in order, sorted by shard: whole documents are gathered to blocks of about BLOCK_BYTES."""
+    """One shard's documents in order: whole documents are gathered to blocks of about BLOCK_BYTES."""
     held: list[tuple] = []
-    size, shard, block, start = 0, None, 0, 0
+    size, shard, block, start = 0, TaskContext.get().partitionId(), 0, 0
     names = [x.split(" ")[0] for x in _BLOCK.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
 
@@ -117,14 +115,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [shard, block, start, len(ids), sum(counts), ids, counts, control, b"".join(h[3] for h in held)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    for batch in batches:
-        for where, doc, n, control, data in zip(*(batch.column(k).to_pylist() for k in ("shard", "doc_id", "n_tokens", "control", "data")), strict=True):
-            if held and (where != shard or size >= BLOCK_BYTES):
+    parts = (part for batch in batches for part in slices(batch, 4))
+    for part in parts:
+        for doc, n, control, data in zip(*(part.column(k).to_pylist() for k in ("doc_id", "n_tokens", "control", "data")), strict=True):
+            if held and size >= BLOCK_BYTES:
                 yield out()
                 start, block = start + sum(h[1] for h in held), block + 1
                 held, size = [], 0
-            if where != shard:
-                shard, block, start = where, 0, 0
             held.append((doc, n, control, data))
             size += len(data)
     if held:
@@ -150,20 +147,18 @@ def write_token_files(
     rank[counted["id"].to_numpy(np.int64)] = np.arange(len(counted), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(counted["id"])], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     sent = spark.sparkContext.broadcast(rank)
-    shards = max(1, min(SHARDS, -(-ids.count() // SHARD_DOCS)))
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
-    edges = sorted({int(b) for b in bounds or []})
+    shards = max(1, -(-ids.count() // SHARD_DOCS))
     coded = ids.mapInArrow(lambda it: _encoded(it, sent.value, dtype), _DOC)
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    dealt = coded.withColumn("shard", F.coalesce(at, F.lit(0)).cast("long")).repartition(len(edges) + 1, "shard")
-    dealt = dealt.sortWithinPartitions(F.asc("shard"), F.asc_nulls_first("doc_id"), F.asc("tie"))
+    # the number is explicit, so ranges stay apart and the task's number is the shard's
+    dealt = coded.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("tie"))
     dealt.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # a block at a time, as its values take several times its room
+            row = batch.slice(i, 1).to_pylist()[0]
             values = ids[decode(row["control"], row["data"], row["n_ids"])].astype("<u4")
             counts = np.array(row["counts"], np.int64)
             ends = np.cumsum(counts)
@@ -180,11 +175,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(ranks["id"].to_numpy(np.uint32))
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     docs = blocks.mapInArrow(lambda it: _decoded(it, sent.value), "shard long, doc_id long, at long, n_tokens long, ids binary")
-    # one row for each shard, SHARDS at most
+    # one row for each shard of SHARD_DOCS documents; written as a table, so that Spark knows its size and broadcasts it
+    # only below its own threshold
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("shard", before.alias("base"))
-    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    base = cut(sizes.select("shard", before.alias("base")), "starts")
+    return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:

@@ -34,7 +34,7 @@ def default_path() -> str:
 class WordTokenizer:
     """``ids(text)`` equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``.
 
-    Strings of special tokens in a text are ordinary text. Memory is bounded: two generations of about ``keep`` words
+    A text with the string of an added token is encoded by one library call, as such tokens split it. Memory is bounded: two generations of about ``keep`` words
     each; a word that neither holds is encoded again. New words are encoded many in one call, as a text of their own:
     the bytes that each id stands for tell where a word's ids end.
     """
@@ -44,7 +44,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self._tok.get_vocab()
         self.size = len(vocabulary)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -116,6 +117,8 @@ class WordTokenizer:
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """The start of a text, which is encoded as it is, and the words after it, for ``learn``."""
+        if self._added is not None and self._added.search(text):
+            return text, []
         odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)
         parts = _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
         return parts[0], parts[1:]

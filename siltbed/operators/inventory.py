@@ -49,6 +49,14 @@ def verify_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return manifest.join(got, "path", "left").select("path", "hash", status.alias("status"))
 
 
+def decode_plan(entries: DataFrame, stored: DataFrame, qualities: dict[str, int]) -> DataFrame:
+    """Entries (path, size) that have a stored original format (path, original), with that format's quality if it has one."""
+    quality = F.lit(None).cast("int")
+    for kind, q in qualities.items():
+        quality = F.when(F.col("original") == kind, q).otherwise(quality)
+    return entries.join(stored, "path").select("path", "size", "original", quality.alias("quality"))
+
+
 def archive_stats(files: DataFrame, *keys: str) -> DataFrame:
     """Files, bytes before and after encoding, percent left (0 if there is nothing) and whole MB of each group."""
     grouped = files.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("size").alias("original"), F.sum("compressed").alias("compressed"))

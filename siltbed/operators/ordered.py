@@ -71,6 +71,19 @@ def rescale(value: Column, from_base: tuple[int, int], to_base: tuple[int, int])
     return F.signum(value).cast("long") * F.floor(twice / (2 * den)).cast("long")
 
 
-def sad(a: str, b: str) -> Column:
+def sad(a: str | Column, b: str | Column) -> Column:
     """Sum of absolute differences of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def position(rows: DataFrame, key: str, by: str, width: int) -> DataFrame:
+    """Adds ``position`` (from 1) and ``total`` of each row within its key in the order of an integer column: numbered
+    in ranges of ``width`` and moved by what the ranges before hold, so that no key is numbered in one task."""
+    split = rows.withColumn("_range", F.floor(F.col(by) / width))
+    sums = split.groupBy(key, "_range").agg(F.count("*").alias("_in"))
+    over = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_in").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_in").over(over).alias("total"))
+    here = F.row_number().over(Window.partitionBy(key, "_range").orderBy(by)).cast("long")
+    joined = split.withColumn("_here", here).join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("position", F.col("_here") + F.col("_before")).drop("_range", "_k", "_r", "_before", "_here")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.operators import inventory as inv
+from siltbed.operators import ordered
 from siltbed.plans.registry import query, table
 
 _FILES = """files AS (SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, source || '/' || lang AS folder, source, lang, doc_id,
@@ -17,6 +18,10 @@ _MANIFEST = f"""{_FILES}, manifest AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'al
  actual AS (SELECT path, hash FROM files WHERE doc_id % 77 <> 0)"""
 
 
+#: Ids of one range when files of a source are numbered.
+RANGE = 20_000
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.inventory(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,13 @@ def dedup_map(spark, sf_dir):
     return inv.dedup_map(_files(spark, sf_dir))
 
 
+@query(f"WITH {_FILES}, g AS (SELECT hash, count(*) AS n FROM files GROUP BY hash HAVING count(*) > 1) SELECT path, hash, size, g.n AS n_files FROM files JOIN g USING (hash)")
+def duplicate_files(spark, sf_dir):
+    """Files of each hash that several have, a row for each, so that a hash of any number of files makes no large row."""
+    files = _files(spark, sf_dir).select("path", "hash", "size")
+    return files.join(inv.hash_groups(files).where("n_files > 1").select("hash", "n_files"), "hash")
+
+
 @query(f"WITH {_FILES}, g AS (SELECT hash, count(*) AS n FROM files GROUP BY hash) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_files, max(n) AS largest FROM g WHERE n > 1")
 def dedup_groups(spark, sf_dir):
     groups = inv.hash_groups(_files(spark, sf_dir)).where("n_files > 1")
@@ -154,8 +166,8 @@ def listing_count(spark, sf_dir):
  round(row_number() OVER w * 100.0 / count(*) OVER (PARTITION BY source), 6) AS percent FROM files WINDOW w AS (PARTITION BY source ORDER BY doc_id)"""
 )
 def progress_pct(spark, sf_dir):
-    by = Window.partitionBy("source")
-    out = _files(spark, sf_dir).select("source", "doc_id", F.row_number().over(by.orderBy("doc_id")).cast("long").alias("current"), F.count("*").over(by).alias("total"))
+    numbered = ordered.position(_files(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", RANGE)
+    out = numbered.select("source", "doc_id", F.col("position").alias("current"), "total")
     return out.withColumn("percent", F.round(F.col("current") * 100.0 / F.col("total"), 6))
 
 
@@ -183,8 +195,8 @@ def chunk_dedup(spark, sf_dir):
 
 @query(f"WITH {_FILES} SELECT path, hash, source || '_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || '.bpg' AS output FROM files")
 def unique_output_name(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("string")
-    return _files(spark, sf_dir).select("path", "hash", F.concat(F.col("source"), F.lit("_"), n, F.lit(".bpg")).alias("output"))
+    numbered = ordered.position(_files(spark, sf_dir).select("path", "hash", "source", "doc_id"), "source", "doc_id", RANGE)
+    return numbered.select("path", "hash", F.concat(F.col("source"), F.lit("_"), F.col("position").cast("string"), F.lit(".bpg")).alias("output"))
 
 
 @query(f"WITH {_FILES} SELECT folder, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY folder")

@@ -11,22 +11,6 @@ from siltbed.functions import binary
 from siltbed.plans.registry import query, table
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS channel, round(CAST(embedding[i] AS DOUBLE), 5) AS x FROM embeddings, range(1, 65) t(i) WHERE i <= 4")
-def channel_split(spark, sf_dir):
-    """The first four channels of each frame as rows of their own; channel_rows has all of them."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("channel", "x"))
-    return rows.select("vec_id", "channel", F.round(F.col("x").cast("double"), 5).alias("x"))
-
-
-@query("SELECT vec_id, round(CAST(embedding[64] AS DOUBLE), 5) AS first, round(CAST(embedding[1] AS DOUBLE), 5) AS last, round(CAST(embedding[9] AS DOUBLE), 5) AS second_row FROM embeddings")
-def flip_frames(spark, sf_dir):
-    """Frames turned over, and the first cell of the second row before it; flip_cells has the whole frames."""
-    turned = F.reverse("embedding")
-    cells = (turned[0].alias("first"), turned[63].alias("last"), F.col("embedding")[8].alias("second_row"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *cells)
-    return rows.select("vec_id", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("first", "last", "second_row")))
-
-
 @query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS channel, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings")
 def channel_rows(spark, sf_dir):
     """Every channel of each frame as rows of its own."""
@@ -41,6 +25,18 @@ def flip_cells(spark, sf_dir):
     return rows.select("vec_id", "cell", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+@query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS channel, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings")
+def channel_split(spark, sf_dir):
+    """All channels under the earlier name."""
+    return channel_rows(spark, sf_dir)
+
+
+@query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS cell, round(CAST(unnest(list_reverse(embedding)) AS DOUBLE), 5) AS x FROM embeddings")
+def flip_frames(spark, sf_dir):
+    """Whole frames under the earlier name."""
+    return flip_cells(spark, sf_dir)
+
+
 @query("SELECT event_id, CAST(event_id % 2 AS INTEGER) AS field, round(least(1000.0, greatest(-1000.0, value + 0.25)), 6) AS shifted FROM events WHERE event_id % 2 = 1")
 def field_and_shift(spark, sf_dir):
     """The odd rows, moved by a constant within bounds."""
@@ -62,32 +58,23 @@ def base64_round_trip(spark, sf_dir):
     return coded.withColumn("decoded", F.unbase64("encoded").cast("string"))
 
 
-@query(None)
-def reservoir_shuffle(spark, sf_dir):
-    """Each stream's rows in a seeded order within blocks of sixteen; SQL engines have other hashes."""
-    from siltbed.operators import ordered as o
-
-    blocks = o.count_window(table(spark, sf_dir, "events"), o.order("user_id", "ts", "event_id"), 16)
-    return blocks.select("user_id", "event_id", "block", F.xxhash64("event_id", F.lit(7)).alias("place"))
-
-
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         raw = [binary.write_block(int(k), f"lzma:{int(k)}mb", int(o), int(c), int(x)) for k, o, c, x in zip(rows["kind"], rows["original"], rows["compressed"], rows["crc"], strict=True)]
         read = [binary.read_block(b)[0] for b in raw]
-        footer = binary.read_footer(binary.write_footer([(b, len(b)) for b in raw[:3]], False, "c", ""))
-        assert [b["crc"] for b in footer["blocks"]] == [r["crc"] for r in read[:3]]
-        yield pd.DataFrame({"l_orderkey": rows["l_orderkey"], "l_linenumber": rows["l_linenumber"], "raw": raw, "original": [r["original"] for r in read], "crc": [r["crc"] for r in read], "at": [binary.find_signatures(b)[0] for b in raw]})
+        footers = [binary.read_footer(binary.write_footer([(b, len(b))], k % 2 == 1, f"c{k}", "")) for b, k in zip(raw, rows["l_linenumber"].tolist(), strict=True)]
+        kept = {"l_orderkey": rows["l_orderkey"], "l_linenumber": rows["l_linenumber"], "raw": raw, "original": [r["original"] for r in read], "crc": [r["crc"] for r in read], "at": [binary.find_signatures(b)[0] for b in raw]}
+        yield pd.DataFrame(kept | {"footer_crc": [f["blocks"][0]["crc"] for f in footers], "locked": [f["locked"] for f in footers], "comment": [f["comment"] for f in footers]})
 
 
 @query(None)
 def arc_block_rw(spark, sf_dir):
-    """A descriptor for each line written and read again; tests compare the bytes."""
+    """A descriptor and a footer for each line written and read again; tests compare them."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("kind"), (F.col("l_orderkey") * F.col("l_partkey")).alias("original"), F.col("l_partkey").alias("compressed"),
         F.crc32(F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("crc"),
     )
-    return rows.mapInPandas(_blocks, "l_orderkey long, l_linenumber int, raw binary, original long, crc long, at long")
+    return rows.mapInPandas(_blocks, "l_orderkey long, l_linenumber int, raw binary, original long, crc long, at long, footer_crc long, locked boolean, comment string")
 
 
 #: Head bytes and names by which archive formats are told.

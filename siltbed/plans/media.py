@@ -52,6 +52,13 @@ def skip_compressed_videos(spark, sf_dir):
     return _probes(spark, sf_dir).groupBy("codec").agg(F.count("*").alias("n"), F.count_if(~good).alias("encoded"), F.sum("size").alias("bytes"))
 
 
+@query(f"WITH {_PROBES} SELECT l_orderkey, l_linenumber, codec, size FROM judged WHERE NOT (CAST(l_linenumber % 2 AS BOOLEAN) AND {_GOOD})")
+def videos_to_encode(spark, sf_dir):
+    """What is left to encode where rows with the flag skip efficient videos, the others none."""
+    skip = (F.col("l_linenumber") % 2 == 1) & media.efficient(F.col("rule"))
+    return _probes(spark, sf_dir).where(~skip).select("l_orderkey", "l_linenumber", "codec", "size")
+
+
 _OPTIONS = """o AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'h264' ELSE 'h265' END AS codec, (['fast', 'medium', 'slow'])[1 + p_partkey % 3] AS speed,
  CAST(CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END AS INTEGER) AS given, CAST(p_size - 10 AS INTEGER) AS raw FROM part)"""
 
@@ -86,20 +93,8 @@ def thumb_dims(spark, sf_dir):
     return rows.select("*", *(media.thumb_side(F.col(s), F.col("w"), F.col("h"), 256, 256).alias(f"t{s}") for s in "wh"))
 
 
-@query("SELECT s_nationkey, max_by(s_suppkey, s_acctbal) AS device, round(max(s_acctbal), 2) AS best FROM supplier GROUP BY s_nationkey")
-def pick_best(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.max_by("s_suppkey", "s_acctbal").alias("device"), F.round(F.max("s_acctbal"), 2).alias("best"))
-
-
 @query(None)
 def varint_round_trip(spark, sf_dir):
     """Each product of keys as bytes and back; tests compare the bytes."""
     value = F.col("l_orderkey") * F.col("l_partkey") * F.col("l_suppkey")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"), binary.varint_bytes(value).alias("bytes")).withColumn("back", binary.varint_value("bytes"))
-
-
-@query("SELECT props, regexp_extract(props, '\"k\": ?([0-9]+)', 1) AS k, count(*) AS n FROM events GROUP BY props")
-def probe_kv(spark, sf_dir):
-    """Values by key from text records, with an explicit schema."""
-    found = table(spark, sf_dir, "events").groupBy("props").agg(F.count("*").alias("n"))
-    return found.select("props", F.coalesce(F.from_json("props", "k string")["k"], F.lit("")).alias("k"), "n")

@@ -78,17 +78,19 @@ def scene_change(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_E}, d AS (SELECT user_id, n, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w AS delta FROM e {_W}), c AS (SELECT *, lag(delta) OVER w AS before FROM d {_W})
- SELECT user_id, count(*) FILTER (WHERE before IS NOT NULL AND delta <> before) AS changed, count(*) FILTER (WHERE before IS NOT NULL AND delta = before) AS same,
- min(delta) AS least, max(delta) AS most FROM c WHERE delta IS NOT NULL GROUP BY user_id"""
+    f"""WITH {_E}, d AS (SELECT user_id, n, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w AS delta FROM e {_W}), c AS (SELECT *, coalesce(lag(delta) OVER w, delta) <> delta AS other FROM d {_W}),
+ g AS (SELECT user_id, count(*) FILTER (WHERE other) AS changed, count(*) FILTER (WHERE NOT other) AS same, min(delta) AS least, max(delta) AS most, CAST(sum(delta) FILTER (WHERE other) AS BIGINT) AS total FROM c WHERE delta IS NOT NULL GROUP BY user_id)
+ SELECT user_id, changed, same, round(changed / (changed + same), 6) AS share, CASE WHEN changed > 0 THEN least END AS least, CASE WHEN changed > 0 THEN most END AS most, CASE WHEN changed > 0 THEN total // changed END AS average FROM g"""
 )
 def vfr_stats(spark, sf_dir):
+    """Deltas that differ from the one before, and that don't; the first counts as constant. The least, the most and the
+    truncated average of the changed ones stand only where there are any."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    deltas = _events(spark, sf_dir).withColumn("delta", ms - F.lag(ms).over(_w())).withColumn("before", F.lag("delta").over(_w())).where("delta IS NOT NULL")
-    other = F.col("before").isNotNull()
-    return deltas.groupBy("user_id").agg(
-        F.count_if(other & (F.col("delta") != F.col("before"))).alias("changed"), F.count_if(other & (F.col("delta") == F.col("before"))).alias("same"), F.min("delta").alias("least"), F.max("delta").alias("most")
-    )
+    deltas = _events(spark, sf_dir).withColumn("delta", ms - F.lag(ms).over(_w())).withColumn("other", F.coalesce(F.lag("delta").over(_w()), F.col("delta")) != F.col("delta")).where("delta IS NOT NULL")
+    by = deltas.groupBy("user_id").agg(F.count_if("other").alias("changed"), F.count_if(~F.col("other")).alias("same"), F.min("delta").alias("lo"), F.max("delta").alias("hi"), F.sum(F.when(F.col("other"), F.col("delta"))).alias("total"))
+    some = F.col("changed") > 0
+    average = F.floor(F.col("total") / F.col("changed"))  # times don't go back, so this truncates
+    return by.select("user_id", "changed", "same", F.round(F.col("changed") / (F.col("changed") + F.col("same")), 6).alias("share"), F.when(some, F.col("lo")).alias("least"), F.when(some, F.col("hi")).alias("most"), F.when(some, average).alias("average"))
 
 
 @query("SELECT event_type, count(*) AS n, round(10 * log10(avg((CAST(round(value * 1000) AS DOUBLE) / 1000) ** 2)), 4) AS mean_db, round(20 * log10(max(abs(round(value * 1000))) / 1000.0), 4) AS peak_db FROM events GROUP BY event_type")
@@ -133,8 +135,14 @@ def bbox(spark, sf_dir):
 
 @query(f"WITH {_CELLS}, p AS (SELECT label, vec_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) SELECT p.label, p.vec_id, round(coalesce(sum(abs(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE))), 0), 5) AS sad FROM p LEFT JOIN c a ON a.vec_id = p.vec_id LEFT JOIN c b ON b.vec_id = p.prev AND b.i = a.i GROUP BY p.label, p.vec_id")
 def frame_sad(spark, sf_dir):
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf_dir, "embeddings").withColumn("prev", before).select("label", "vec_id", F.round(F.coalesce(o.sad("embedding", "prev"), F.lit(0.0)), 5).alias("sad"))
+    """Each frame against the one before of its label, in ranges of ids; a range's first frame meets the last one of the
+    range before it, so that no label is sorted in one task."""
+    frames = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor(F.col("vec_id") / 1000).alias("part"))
+    ends = frames.groupBy("label", "part").agg(F.max_by("embedding", "vec_id").alias("end"))
+    ends = ends.select(F.col("label").alias("_label"), F.col("part").alias("_part"), F.lag("end").over(Window.partitionBy("label").orderBy("part")).alias("end"))
+    inner = frames.withColumn("prev", F.lag("embedding").over(Window.partitionBy("label", "part").orderBy("vec_id")))
+    joined = inner.join(ends, F.col("label").eqNullSafe(F.col("_label")) & (F.col("part") == F.col("_part")))
+    return joined.select("label", "vec_id", F.round(F.coalesce(o.sad("embedding", F.coalesce("prev", "end")), F.lit(0.0)), 5).alias("sad"))
 
 
 @query(
@@ -162,8 +170,9 @@ def rescale_ts(spark, sf_dir):
 @query(f"WITH {_E} SELECT a.event_id, a.user_id, a.n, CASE WHEN a.n BETWEEN 3 AND 6 THEN b.v ELSE a.v END AS v FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.n = 1")
 def freeze_replace(spark, sf_dir):
     """Rows 3 to 6 of each stream get the sample of its row 1."""
-    frozen = F.nth_value("v", 2).over(_w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    held = _numbered(spark, sf_dir).withColumn("frozen", frozen)
+    rows = _numbered(spark, sf_dir)
+    frozen = rows.where("n = 1").select(F.col("user_id").alias("_user"), F.col("v").alias("frozen"))
+    held = rows.join(frozen, F.col("user_id") == F.col("_user"), "left")
     return held.select("event_id", "user_id", "n", F.when(F.col("n").between(3, 6), F.col("frozen")).otherwise(F.col("v")).alias("v"))
 
 
@@ -184,15 +193,6 @@ def sync_queue(spark, sf_dir):
     return events.join(F.broadcast(bound), F.col("ts") <= F.col("bound")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id, i AS n, CAST(0 AS BIGINT) AS v FROM c, range(0, 8) t(i) WHERE i >= c.n % 8 AND c.n % 8 > 0 UNION ALL SELECT user_id, n, v FROM e WHERE n < 8 AND n % 8 < 8")
-def pad_blocks(spark, sf_dir):
-    """The first eight rows of each stream, and the silence that fills its last block; pad_streams has whole streams."""
-    rows = _numbered(spark, sf_dir)
-    counts = rows.groupBy("user_id").agg(F.count("*").alias("c")).where("c % 8 > 0")
-    silence = counts.select("user_id", F.explode(F.sequence(F.col("c") % 8, F.lit(7).cast("long"))).alias("n"), F.lit(0).cast("long").alias("v"))
-    return silence.unionByName(rows.where("n < 8").select("user_id", "n", "v"))
-
-
 @query(f"WITH {_E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id, n, v FROM e UNION ALL SELECT user_id, c.n + i AS n, CAST(0 AS BIGINT) AS v FROM c, range(0, 8) t(i) WHERE c.n % 8 > 0 AND i < 8 - c.n % 8")
 def pad_streams(spark, sf_dir):
     """All rows of each stream, and after its last one the silence that fills its last block of eight."""
@@ -203,6 +203,12 @@ def pad_streams(spark, sf_dir):
     return rows.unionByName(silence)
 
 
+@query(f"WITH {_E}, c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id) SELECT user_id, n, v FROM e UNION ALL SELECT user_id, c.n + i AS n, CAST(0 AS BIGINT) AS v FROM c, range(0, 8) t(i) WHERE c.n % 8 > 0 AND i < 8 - c.n % 8")
+def pad_blocks(spark, sf_dir):
+    """Whole streams under the earlier name."""
+    return pad_streams(spark, sf_dir)
+
+
 @query("WITH d AS (SELECT max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS span, min((epoch_us(ts) // 1000)) AS begin FROM events WHERE event_type = 'click') SELECT event_id, (epoch_us(ts) // 1000) - begin AS at FROM events, d WHERE event_type = 'click' UNION ALL SELECT event_id, (epoch_us(ts) // 1000) - (SELECT min((epoch_us(ts) // 1000)) FROM events WHERE event_type = 'view') + span AS at FROM events, d WHERE event_type = 'view'")
 def concat_segments(spark, sf_dir):
     """One segment after another, the second moved by the length of the first."""

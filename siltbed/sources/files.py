@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -47,6 +47,14 @@ def extract_entry(spark: SparkSession, path: str, name: str) -> DataFrame:
     return list_archive(spark, path).where(F.col("path") == name)
 
 
+def extract(spark: SparkSession, path: str) -> DataFrame:
+    """All entries with their contents; one whose content doesn't have its hash is an error."""
+    entries = list_archive(spark, path)
+    good = F.sha2(F.col("content").cast("binary"), 256) == F.col("hash")
+    content = F.when(good, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("altered content: "), "path")).cast("string"))
+    return entries.withColumn("content", content)
+
+
 def verify(spark: SparkSession, path: str, content: str = "content") -> DataFrame:
     """Status of every manifest row against the entries' contents as they are now."""
     from siltbed.operators.inventory import verify_manifest
@@ -77,14 +85,24 @@ def key_values(lines: DataFrame, column: str = "value", schema: StructType | str
     return mapped.select("*", *(F.col("kv")[f.name].try_cast(f.dataType).alias(f.name) for f in fields)).drop("kv")
 
 
-def render(rows: DataFrame, style: str, prefix: str = "row") -> DataFrame:
-    """Each row as text: ``default`` (key=value lines), ``flat`` (prefix.key="value"), ``ini`` (with a section) or ``json``."""
+def rendered(columns: list[str], style: str, prefix: str = "row") -> Column:
+    """A row's columns as text: ``default`` (key=value lines), ``flat`` (prefix.key="value", with quotes and backslashes
+    after a backslash), ``ini`` (with a section, backslashes doubled), ``csv`` (the prefix first, values quoted that need
+    it) or ``json``. Nulls are N/A."""
     if style == "json":
-        return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
-    each = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in rows.columns]
+        return F.to_json(F.struct(*columns))
+    each = {c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in columns}
     if style == "flat":
-        parts = [F.concat(F.lit(f'{prefix}.{c}="'), v, F.lit('"')) for c, v in zip(rows.columns, each, strict=True)]
+        parts = [F.concat(F.lit(f'{prefix}.{c}="'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"')) for c, v in each.items()]
+    elif style == "csv":
+        quoted = [F.when(v.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v) for v in each.values()]
+        return F.concat_ws(",", F.lit(prefix), *quoted)
     else:
-        parts = [F.concat(F.lit(f"{c}="), v) for c, v in zip(rows.columns, each, strict=True)]
-    body = F.concat_ws("\n", *([F.lit(f"[{prefix}]")] if style == "ini" else []), *parts)
-    return rows.select(body.alias("value"))
+        kept = {c: F.replace(v, F.lit("\\"), F.lit("\\\\")) if style == "ini" else v for c, v in each.items()}
+        parts = [F.concat(F.lit(f"{c}="), v) for c, v in kept.items()]
+    return F.concat_ws("\n", *([F.lit(f"[{prefix}]")] if style == "ini" else []), *parts)
+
+
+def render(rows: DataFrame, style: str, prefix: str = "row") -> DataFrame:
+    """Each row as one text, see ``rendered``."""
+    return rows.select(rendered(rows.columns, style, prefix).alias("value"))
