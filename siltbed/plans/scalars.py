@@ -12,7 +12,7 @@ HEADS = (
     ("FFD8FFE000104A4649460001", "a/photo.png"), ("89504E470D0A1A0A0000000D", "b.png"), ("49492A000800000000000000", "c.tif"),
     ("4D4D002A0000000800000000", "d"), ("424D36000000000000003600", "e.bmp"), ("524946460000000057454250", "f.webp"),
     ("000000186674797069736F6D", "g.mov"), ("524946460000000041564920", "h.avi"), ("1A45DFA39F4286810142F781", "i.webm"),
-    ("FFD8FFE00010", "test.jpg"), ("", "photo.cr2"), ("3C21444F43545950", "x.html"), ("3C21444F435459504520", "y.M4V"),
+    ("FFD8FFE00010", "k/short.jpg"), ("", "k/r.cr2"), ("3C21444F43545950", "x.html"), ("3C21444F435459504520", "y.M4V"),
     ("000000000000000000000000", "z.jpeg"), ("000000000000000000000000", "dir.d/none"), ("000000000000000000000000", ".png"),
     *((("00" * 12), f"raw/{i}.{e}") for i, e in enumerate(filetypes.EXTENSIONS["raw"])),
 )

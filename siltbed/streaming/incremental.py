@@ -15,20 +15,31 @@ def new_documents(spark: SparkSession, path: str, schema: StructType, per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+_KNOWN = "hash string, batch int, part string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def archive_stream(docs: DataFrame, archive: str, checkpoint: str) -> StreamingQuery:
     """Archives what comes until nothing is left: each batch loses what the archive has already, then its own doubles,
-    and is written under its number, so a batch that runs again takes its own place."""
+    and is written under its number, so a batch that runs again takes its own place. Their hashes stand in a table
+    beside it, by the first byte of the hash."""
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         files = inventory(batch).dropDuplicates(["hash"])
-        try:
-            known = spark.read.parquet(archive).where(F.col("batch") < number).select("hash")
-            files = files.join(known, "hash", "left_anti")
-        except Exception as e:  # the first batch finds no archive
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        names = f"{archive.rstrip('/')}-known"
+        if number and _exists(spark, names):
+            # names of what is archived, by parts of the hash: a batch reads only the parts that it has
+            parts = [r[0] for r in files.select(F.substring("hash", 1, 2)).distinct().collect()]  # 256 at most
+            known = spark.read.schema(_KNOWN).parquet(names).where(F.col("part").isin(parts) & (F.col("batch") < number))
+            files = files.join(known.select("hash"), "hash", "left_anti")
         files.write.mode("overwrite").parquet(f"{archive}/batch={number}")
+        done = spark.read.schema(files.schema).parquet(f"{archive}/batch={number}").select("hash", F.substring("hash", 1, 2).alias("part"))
+        done.write.mode("overwrite").partitionBy("part").parquet(f"{names}/batch={number}")
 
     return docs.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

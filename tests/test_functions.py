@@ -86,7 +86,7 @@ def test_thumbnails(spark):
 
 
 def test_types(spark):
-    cases = [(bytes.fromhex("FFD8FFE000104A4649460001"), "x.png"), (bytes.fromhex("FFD8FFE00010"), "test.jpg"), (b"", "photo.cr2"), (b"", "none"), (None, "a.webm")]
+    cases = [(bytes.fromhex("FFD8FFE000104A4649460001"), "x.png"), (bytes.fromhex("FFD8FFE00010"), "k/short.jpg"), (b"", "k/r.cr2"), (b"", "none"), (None, "a.webm")]
     assert one(spark, *cases, schema="b binary, p string", column=filetypes.file_type(F.col("b"), F.col("p"))) == ["jpg", "jpg", "raw", "other", "webm"]
 
 

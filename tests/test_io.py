@@ -14,7 +14,7 @@ def docs(spark):
 
 
 def test_scan_manifest_archive(spark, tmp_path):
-    for name, content in (("file1.txt", "First file content"), ("sub dir/file2.txt", "Second file content with more data"), ("file3.txt", "Third")):
+    for name, content in (("notes.txt", "silt and sand"), ("river bed/grain.txt", "clay, silt, sand and gravel by size"), ("z.txt", "loam")):
         (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / name).write_text(content)
     found = files.scan(spark, str(tmp_path / "in"))
@@ -23,7 +23,7 @@ def test_scan_manifest_archive(spark, tmp_path):
     files.create_archive(entries, str(tmp_path / "a"))
     assert {r.status for r in files.verify(spark, str(tmp_path / "a")).collect()} == {"ok"}
     assert files.read_manifest(spark, str(tmp_path / "a/manifest")).count() == 3
-    assert bytes(files.extract_entry(spark, str(tmp_path / "a"), "file3.txt").first()["content"]) == b"Third"
+    assert bytes(files.extract_entry(spark, str(tmp_path / "a"), "z.txt").first()["content"]) == b"loam"
 
 
 def test_manifest_lines(spark, tmp_path):
