@@ -106,15 +106,15 @@ def _parts(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list]:
             begin, held = end, 0
 
 
-_LIST = "doc_id long, n_bytes long, payload binary, digests array<binary>, lengths array<int>"
+_LIST = "doc_id long, row long, n_bytes long, payload binary, digests array<binary>, lengths array<int>"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for part in _parts(batch.column(1).to_pylist()):
+        for part in _parts(batch.column(2).to_pylist()):
             cols = [
-                batch.column(0).slice(at, len(part)), pa.array([n for _, n, _ in part], pa.int64()),
+                batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array([n for _, n, _ in part], pa.int64()),
                 pa.array([hashlib.sha256(p).digest() for p, _, _ in part], pa.binary()),
                 pa.array([[digest(c) for c in cs] for _, _, cs in part], pa.list_(pa.binary())),
                 pa.array([[len(c) for c in cs] for _, _, cs in part], pa.list_(pa.int32())),
@@ -127,8 +127,8 @@ _STORED = "payload binary, digests array<binary>, lengths array<int>, shared arr
 
 
 def _stored(batches: Iterator[pa.RecordBatch], known: dict | None) -> Iterator[pa.RecordBatch]:
-    """Rows of payloads (digest null) and of shared chunks. ``known`` has ``copies``, ids whose payload another row
-    stores, and ``owner``, digest of each shared chunk to the id that stores it; without it both come as columns."""
+    """Rows of payloads (digest null) and of shared chunks. ``known`` has ``copies``, rows whose payload another row
+    stores, and ``owner``, digest of each shared chunk to the row that stores it; without it both come as columns."""
     names = [x.split(" ")[0] for x in _STORED.split(", ")]
     kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
     for batch in batches:
@@ -138,8 +138,8 @@ def _stored(batches: Iterator[pa.RecordBatch], known: dict | None) -> Iterator[p
             copy = batch.column(4).to_pylist()
         else:
             copies = known["copies"]
-            at = np.minimum(np.searchsorted(copies, ids), max(0, len(copies) - 1)) if len(copies) else None
-            copy = (copies[at] == np.array(ids)).tolist() if at is not None else [False] * len(ids)
+            own = np.array(ids, np.int64)
+            copy = (copies[np.minimum(np.searchsorted(copies, own), len(copies) - 1)] == own).tolist() if len(copies) else [False] * len(ids)
         keep = [i for i, x in enumerate(copy) if not x]
         done = 0
         for part in _parts([texts[i] for i in keep]):
@@ -205,28 +205,34 @@ class MediaStore:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> MediaStore:
     """Stores the padded payload of every document as chunks, each different one once.
 
-    Null and empty texts are one unit of spaces. Repeated texts share their list. A null or repeated id may not stand
-    for two texts: ids name the row that stores a chunk. Other columns are not read. An empty table makes an empty
-    store.
+    Null and empty texts are one unit of spaces. Repeated texts share their list. Rows are told apart by a 64-bit hash
+    of id and text, so null ids and ids that stand for several texts are stored like others. Rows that are repeated as a
+    whole have a list each and are stored once. Other columns are not read. An empty table makes an empty store.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     lists = cut(plain.mapInArrow(_lists, _LIST), "lists")
-    owners = lists.groupBy("payload").agg(F.min("doc_id").alias("owner"), F.first("digests").alias("digests"))
-    copies = lists.join(owners.select("payload", "owner"), "payload").where(F.col("doc_id") != F.col("owner")).select("doc_id")
+    owners = lists.groupBy("payload").agg(F.min("row").alias("owner"), F.first("digests").alias("digests"))
+    copies = lists.join(owners.select("payload", "owner"), "payload").where(F.col("row") != F.col("owner")).select("row").distinct()
     found = owners.select("owner", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("owner").alias("owner"), F.count("*").alias("n"))
     shared = cut(found.where("n > 1").select("digest", "owner"), "shared")
     copies = cut(copies, "copies")
-    if 60 * shared.count() + 8 * copies.count() <= BROADCAST_BYTES:
-        rows = shared.collect()
-        known = {"owner": {bytes(r["digest"]): r["owner"] for r in rows}, "copies": np.sort(np.array([r[0] for r in copies.collect()], np.int64))}
-        sent = spark.sparkContext.broadcast(known)
-        made = plain.mapInArrow(lambda it: _stored(it, sent.value), _STORED)
+    given = plain.select("row", "text")
+    if lists.select("row").distinct().count() < lists.count():  # rows repeated as a whole
+        given = given.dropDuplicates(["row"])
+    n_shared, n_copies = shared.count(), copies.count()
+    # as a Python dictionary a shared chunk takes about 200 bytes
+    if 200 * n_shared + 8 * n_copies <= BROADCAST_BYTES:
+        rows = shared.toArrow()
+        owner = dict(zip(rows.column("digest").to_pylist(), rows.column("owner").to_pylist(), strict=True))
+        sent = spark.sparkContext.broadcast({"owner": owner, "copies": np.sort(copies.toArrow().column("row").to_numpy())})
+        made = given.mapInArrow(lambda it: _stored(it, sent.value), _STORED)
     else:
-        asked = lists.select("doc_id", F.explode("digests").alias("digest")).distinct().join(shared, "digest")
-        asked = asked.groupBy("doc_id").agg(F.collect_list("digest").alias("d"), F.collect_list("owner").alias("o"))
-        wide = plain.join(asked, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-        wide = wide.select("doc_id", "text", "d", "o", F.coalesce("copy", F.lit(False)).alias("copy"))
+        asked = lists.select("row", F.explode("digests").alias("digest")).distinct().join(shared, "digest")
+        asked = asked.groupBy("row").agg(F.collect_list("digest").alias("d"), F.collect_list("owner").alias("o"))
+        wide = given.join(asked, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
+        wide = wide.select("row", "text", "d", "o", F.coalesce("copy", F.lit(False)).alias("copy"))
         made = wide.mapInArrow(lambda it: _stored(it, None), _STORED)
     path = fresh_path(spark, "media")
     made.write.option("compression", "zstd").parquet(path)
