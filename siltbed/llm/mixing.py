@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import word_count
+from siltbed.llm.shared import free_name, word_count
 
 #: Documents of one (source, length) that are ranked in one task, about.
 RANKED = 20_000
@@ -137,13 +137,16 @@ def mix_sources(
     Null and empty texts have size 0 and get no words (their copies equal those of their source's whole rounds). Null
     sources are a source of their own. Rows that are repeated are documents of their own; equal rows are
     interchangeable. An empty table stays empty. Columns of the input stay as they are; columns of the names above are
-    replaced. The table of sources, one row for each weight that the mix is configured with, goes through the driver.
+    replaced. The table of sources, one row for each, goes through the driver, as shares of one depend on all others.
     """
     spark = docs.sparkSession
     size = F.col(size_col).cast("long") if size_col else word_count(text_col)
-    sized = docs.withColumns({"mix_size": F.coalesce(size, F.lit(0)), "_source": F.col(source_col).cast("string"), "_hash": F.xxhash64(F.col(id_col), F.lit(seed))})
-    hist = sized.groupBy(F.col("_source").alias("source"), F.col("mix_size").alias("size")).agg(F.count("*").alias("n"))
-    totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()
+    source, hash_, base, extra, n, groups, group, before = (free_name(docs, f"_mix_{x}") for x in ("source", "hash", "base", "extra", "n", "groups", "group", "before"))
+    made = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    own = [c for c in docs.columns if c not in made]
+    sized = docs.withColumns({source: F.col(source_col).cast("string"), hash_: F.xxhash64(F.col(id_col), F.lit(seed)), "mix_size": F.coalesce(size, F.lit(0))})
+    hist = sized.groupBy(F.col(source).alias("source"), F.col("mix_size").alias("size")).agg(F.count("*").alias("n"))
+    totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).toArrow().to_pylist()
     totals = sorted(totals, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["total"]) for r in totals]
     shares = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget_ratio * sum(sizes), most_copies)
@@ -155,18 +158,17 @@ def mix_sources(
         .groupBy("source")
         .applyInPandas(_quotas, "source string, size long, n long, source_size long, target double, base long, extra long")
     )
-    groups = F.greatest(F.lit(1), F.ceil(F.col("_q.n") / RANKED))
-    joined = sized.alias("d").join(quotas.alias("_q"), F.col("_source").eqNullSafe(F.col("_q.source")) & (F.col("mix_size") == F.col("_q.size")))
-    fields = {"mix_source_size": F.col("_q.source_size"), "mix_target": F.col("_q.target"), "_base": F.col("_q.base"), "_extra": F.col("_q.extra"), "_n": F.col("_q.n"), "_groups": groups}
-    ranked = joined.select("d.*", *(v.alias(k) for k, v in fields.items()))
+    joined = sized.alias("d").join(quotas.alias("q"), F.col(f"d.{source}").eqNullSafe(F.col("q.source")) & (F.col("d.mix_size") == F.col("q.size")))
+    fields = {"mix_source_size": F.col("q.source_size"), "mix_target": F.col("q.target"), base: F.col("q.base"), extra: F.col("q.extra"), groups: F.greatest(F.lit(1), F.ceil(F.col("q.n") / RANKED))}
+    ranked = joined.select(*(F.col(f"d.`{c}`") for c in (*own, source, hash_, "mix_size")), *(v.alias(k) for k, v in fields.items()))
     # a part of the hash's range for each RANKED documents, so that no length of a source is ranked in one task
-    unit = (F.shiftrightunsigned(F.col("_hash"), 33) / F.lit(float(1 << 31))).cast("double")
-    ranked = ranked.withColumn("_group", F.floor(unit * F.col("_groups")))
-    parts = ranked.groupBy("_source", "mix_size", "_group").agg(F.count("*").alias("_in"))
-    before = Window.partitionBy("_source", "mix_size").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).alias("p")
-    on = F.col("r._source").eqNullSafe(F.col("p._source")) & (F.col("r.mix_size") == F.col("p.mix_size")) & (F.col("r._group") == F.col("p._group"))
-    ranked = ranked.alias("r").join(parts, on).select("r.*", "p._before")
-    rank = F.row_number().over(Window.partitionBy("_source", "mix_size", "_group").orderBy("_hash", F.col(id_col)))
-    copies = F.col("_base") + F.when(rank + F.col("_before") <= F.col("_extra"), 1).otherwise(0)
-    return ranked.withColumn("mix_copies", copies.cast("long")).drop("_source", "_hash", "_base", "_extra", "_n", "_groups", "_group", "_before")
+    unit = (F.shiftrightunsigned(F.col(hash_), 33) / F.lit(float(1 << 31))).cast("double")
+    ranked = ranked.withColumn(group, F.floor(unit * F.col(groups)))
+    parts = ranked.groupBy(source, "mix_size", group).agg(F.count("*").alias(n))
+    ahead = Window.partitionBy(source, "mix_size").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0))).alias("p")
+    on = F.col(f"r.{source}").eqNullSafe(F.col(f"p.{source}")) & (F.col("r.mix_size") == F.col("p.mix_size")) & (F.col(f"r.{group}") == F.col(f"p.{group}"))
+    ranked = ranked.alias("r").join(parts, on).select("r.*", f"p.{before}")
+    rank = F.row_number().over(Window.partitionBy(source, "mix_size", group).orderBy(hash_, F.col(id_col)))
+    copies = F.col(base) + F.when(rank + F.col(before) <= F.col(extra), 1).otherwise(0)
+    return ranked.withColumn("mix_copies", copies.cast("long")).select(*own, *made)
