@@ -18,16 +18,15 @@ run or window).
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.jaccard import mixed
-from siltbed.llm.shared import cut
+from siltbed.llm.shared import cut, free_name
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(0xD1617).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -203,6 +202,20 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> It
         yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "n_bytes", "spans", "kept"])
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """The documents and a number of each in the order of ids. That is the id itself, unless an id has several texts."""
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), F.xxhash64(text_col)
+    names = docs.select(key.alias("k"), text.alias("t"))
+    if not names.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").limit(1).count():
+        return docs, key
+    # ranges in order, sorted: these numbers ascend with (id, hash) over all parts
+    numbered = names.distinct().repartitionByRange("k", "t").sortWithinPartitions("k", "t").withColumn("n", F.monotonically_increasing_id())
+    number = free_name(docs, "_number")
+    numbered = cut(numbered, "numbers").withColumnRenamed("n", number)
+    joined = docs.join(numbered, (key == F.col("k")) & (text == F.col("t"))).select(*docs.columns, number)
+    return joined, F.col(number)
+
+
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = 48, chars: bool = False) -> DataFrame:
     """doc_id, the columns ``carry``, n_bytes, spans (begin and end of the removed byte ranges) and kept (what is left).
 
@@ -212,10 +225,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "
     With ``chars``, a character of several bytes stays whole unless all its bytes are removed.
 
     Null and empty texts, and texts below ``width`` bytes, keep all. A null id is one document ahead of all others.
-    Rows of one id count as one document that is given more than once; each has the same bytes removed. An empty table
-    gives no rows. Carried columns may have any name but those above.
+    Equal rows of one id count as one document that is given more than once; each has the same bytes removed. Different
+    texts of one id are documents of their own, in the order of a hash of the text. An empty table gives no rows. Carried columns may have any name but those above.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    docs, key = _keyed(docs, id_col, text_col)
     runs = docs.select(key, F.col(text_col)).mapInArrow(lambda it: _runs(it, width, gram), "gram long, run long, doc_id long, at long, later boolean")
     same = Window.partitionBy("gram", "run").orderBy("doc_id", "at")
     first = F.first(F.struct("doc_id", "at")).over(same)
@@ -238,5 +251,3 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "
     joined = given.join(all_.withColumnRenamed("doc_id", "_id"), "_id", "left").select(*carry, "doc_id", "_text", "_w")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(lambda it: _cut_texts(it, width, chars), f"{fields}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
-
-
