@@ -7,7 +7,9 @@ their longest common subsequence and the shared ones deleted: what two near page
 
 Two kinds of lines aren't left to that alone. Lines in elements that can't be main text (navigation, footers, forms,
 adverts, comments, ...) are deleted even where they differ from page to page, and lines inside a marked article stay
-even where another page has them, since sites carry the same article, or the same paragraph, more than once.
+even where another page has them, since sites carry the same article, or the same paragraph, more than once. Inside an
+article an element is of the frame by its own name or by a whole class or id; where a word of the frame is only a part of
+one ("related-work", "social-history"), the difference decides: its lines go if the nearest page has them too.
 """
 
 from __future__ import annotations
@@ -48,11 +50,20 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-OTHER, MAIN = 1, 2
+#: Where a line stands: outside an article, inside one, or there in an element whose name may be the frame's.
+OTHER, MAIN, DOUBTFUL = 1, 2, 3
+#: Parts of a name that may follow a word of the frame in it: "ad-slot-1", "comment-list".
+_TAIL = re.compile(r"(?:slot|box|unit|list|section|bar|block|area|container|wrapper|inner|[0-9]+)")
+
+
+def _of_frame(name: str) -> bool:
+    """Whether a whole class or id is a word of the frame, but for parts like "slot" or numbers after it."""
+    words = [w for w in re.findall(r"[a-z]+|[0-9]+", _CAMEL.sub(" ", name).lower())]
+    return bool(words) and words[0] in CHROME_WORDS and all(w in CHROME_WORDS or _TAIL.fullmatch(w) for w in words[1:])
 
 
 def _kind(name: str, rest: str, in_main: bool) -> str:
-    """'chrome', 'article', 'header' or ''."""
+    """'chrome', 'article', 'header', 'doubtful' or ''."""
     if name in CHROME:
         return "chrome"
     kind = "article" if name in ARTICLE else "header" if name == "header" else ""
@@ -64,7 +75,9 @@ def _kind(name: str, rest: str, in_main: bool) -> str:
             if key in ("class", "id", "role"):
                 words = _WORDS.findall(_CAMEL.sub(" ", value).lower())
                 if name not in ("html", "body") and any(w in CHROME_WORDS for w in words):
-                    return "chrome"
+                    if not in_main or any(_of_frame(x) for x in value.split()):
+                        return "chrome"
+                    kind = kind or "doubtful"
                 if "header" in words or "contentinfo" in words:
                     kind = kind or "header"
                 if not kind and not in_main and (key == "role" and value == "main" or key == "itemprop" or any(w in ARTICLE_WORDS for w in words)):
@@ -73,11 +86,11 @@ def _kind(name: str, rest: str, in_main: bool) -> str:
 
 
 def lines(html: str) -> list[tuple[int, str]]:
-    """The text blocks of a page that aren't inside an element of its frame, each OTHER or MAIN (inside an article)."""
+    """The text blocks of a page that aren't inside an element of its frame, each with the zone it stands in."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, str]] = []  # open elements: name, kind
     held: list[str] = []
-    chrome = article = header = heading = 0
+    chrome = article = header = heading = doubtful = 0
     zone = OTHER
 
     def flush() -> None:
@@ -88,12 +101,13 @@ def lines(html: str) -> list[tuple[int, str]]:
             held.clear()
 
     def pop() -> None:
-        nonlocal chrome, article, header, heading
+        nonlocal chrome, article, header, heading, doubtful
         name, kind = stack.pop()
         if name not in INLINE:
             flush()
         chrome -= kind == "chrome"
         article -= kind == "article"
+        doubtful -= kind == "doubtful"
         header -= kind == "header"
         heading -= name in HEADINGS
 
@@ -101,7 +115,7 @@ def lines(html: str) -> list[tuple[int, str]]:
         nonlocal zone
         if chrome or header and not (article and heading):
             return
-        now = MAIN if article else OTHER
+        now = OTHER if not article else DOUBTFUL if doubtful else MAIN
         if now != zone:
             flush()
             zone = now
@@ -150,6 +164,7 @@ def lines(html: str) -> list[tuple[int, str]]:
         stack.append((name, kind))
         chrome += kind == "chrome"
         article += kind == "article"
+        doubtful += kind == "doubtful"
         header += kind == "header"
         heading += name in HEADINGS
     if at < len(html):
@@ -197,10 +212,11 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[tuple[int, str]], near: list[tuple[int, str]] | None) -> str:
-    """The lines of a marked article; where there is none, the lines that the nearest page doesn't share."""
-    marked = any(zone == MAIN for zone, _ in page)
+    """The lines of a marked article but for doubtful ones that the nearest page shares; where there is no article, the
+    lines that it doesn't share."""
+    marked = any(zone != OTHER for zone, _ in page)
     gone = shared([t for _, t in page], [t for _, t in near]) if near else set()
-    return "\n".join(t for i, (zone, t) in enumerate(page) if zone == MAIN or not marked and i not in gone)
+    return "\n".join(t for i, (zone, t) in enumerate(page) if zone == MAIN or (zone == DOUBTFUL or not marked) and i not in gone)
 
 
 def _near(path: str, other: str) -> int:
