@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import WORD, cut, slices, text_or_empty
+from siltbed.llm.shared import WORD, Workspace, cut, slices, text_or_empty
 
 _WORD = re.compile(WORD)
 _SIGN = re.compile(r"[#*$%&|<>]")
@@ -278,7 +278,11 @@ def quality_rules(
     if clash := set(carry) & {*_MADE, "base_failed", "kept"}:
         raise ValueError(f"rename before: {', '.join(sorted(clash))}")
     plain = docs.select(*carry, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_rule_lang"), F.col(text_col).alias("_rule_text"))
-    scored = cut(scored_texts(plain), "scored")
+    own = Workspace()
+    with own:
+        scored = cut(scored_texts(plain), "scored")
+    own.keep(scored)
+    own.close()
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     bands = (
         scored.where(~failed)

@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar, Token
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _FOLDERS: dict[str, SparkSession] = {}
+_WORKSPACE: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,21 +34,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _forget() -> None:
-    for path, spark in _FOLDERS.items():
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+def remove(path: str) -> None:
+    """Deletes a folder of ``fresh_path``."""
+    spark = _FOLDERS.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # at the driver's end the session may be gone
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _forget() -> None:
+    for path in [*_FOLDERS]:
+        remove(path)
+
+
 atexit.register(_forget)
 
 
+class Workspace:
+    """Owns the tables that are cut while it is entered. ``close`` deletes those that ``keep`` wasn't told of; those
+    go to the workspace around it, if there is one."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self._tokens: list[Token] = []
+
+    def __enter__(self) -> Workspace:
+        self._tokens.append(_WORKSPACE.set(self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _WORKSPACE.reset(self._tokens.pop())
+
+    def keep(self, *tables: DataFrame) -> None:
+        files = [f for t in tables for f in t.inputFiles()]
+        kept = [p for p in self.paths if any(p.split(":", 1)[-1].lstrip("/") in f for f in files)]
+        self.paths = [p for p in self.paths if p not in kept]
+        if (outer := _WORKSPACE.get()) is not None and outer is not self:
+            outer.paths += kept
+
+    def close(self) -> None:
+        while self.paths:
+            remove(self.paths.pop())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a table; it goes when the driver ends."""
+    """A new folder for a table; it goes when the driver ends, or with its workspace."""
     path = f"{shared_dir(spark)}/siltbed/{name}-{uuid.uuid4().hex}"
     _FOLDERS[path] = spark
+    if (own := _WORKSPACE.get()) is not None:
+        own.paths.append(path)
     return path
 
 
