@@ -2,17 +2,24 @@
 
 Sets are put in size bands. For two sets of Jaccard similarity s or more, the larger in band b, at most
 k = (1 - s) / (1 + s) * 2 * (largest size of b) shingles are in one set only. The shingle domain is cut by a hash into
-k + 1 + e partitions; at most k of them can differ, so the sets agree on 1 + e partitions at least. A signature is the
-whole content of one partition (the subset enumeration of size n1 - k2 with n1 = n2 = 1), under its band.
+n1 = k // (k2 + 1) + 1 + e first-level partitions, so at least 1 + e of them hold at most k2 differing shingles. Each of
+these is cut into n2 second-level partitions, and the subsets of n2 - k2 of them are enumerated: in a partition with k2
+differences the two sets agree on one such subset at least. A signature is the whole content of one subset, under its
+band. Here k2 = 1 and n2 = 3.
 
-Agreement on an empty partition says nothing, so a set with E empty partitions gives signatures of the others only,
-as long as E <= e: 1 + e - E agreements are left. Of these every set may ignore its e - E most frequent signatures, in
-one order for all: the rarest signature that two similar sets share is never among them. What only shares a frequent
-passage thus meets no more. A set with more empty partitions gives the empty ones too.
+Agreement on an empty subset says nothing. A partition with an empty subset is weak; a set with w weak ones gives the
+signatures of its subsets that aren't empty, as long as w <= e: 1 + e - w partitions are left that agree on one. Of these
+every set may ignore its e - w most frequent signatures, in one order for all: the rarest signature that two similar sets
+share is never among them. What only shares a frequent passage thus meets no more. A set with more weak partitions gives the empty
+subsets too. In bands in which no shingle may differ the whole set is the one signature.
+
+Signatures leave a task in packed arrays, one for each bucket of signatures, and those that several sets have are found
+by sorting a bucket's arrays; what only one set has goes no further.
 
 Candidates are verified on the whole sets. Groups of signatures that have the same sets are one group. The sets of a
 group are first compared with one of them. The sets of groups that then lie in several components get finer signatures,
-their rare shingles, and some more rounds compare the sets of these groups with one of them, unless they lie in its
+their rare shingles (partitions of one shingle each, of which a set may ignore the frequent ones), and some more rounds
+compare the sets of these groups with one of them, unless they lie in its
 component already; rounds end when they bring little. Then the pairs across components of the groups that are left are compared, so no link is lost.
 """
 
@@ -20,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.graph import components
-from siltbed.llm.shared import WORD, cut
+from siltbed.llm.shared import WORD, Workspace, cut, slices
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _KNOWN: dict[str, int] = {}
-#: Bytes of candidate ids that are broadcast at most; beyond it they are joined.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of candidates' keys that are broadcast at most; beyond it they are joined.
+BROADCAST_BYTES = 32 << 20
+#: Documents whose signatures share one bucket, about.
+BUCKET_DOCS = 12_000
 #: Bits of the parity sketch that rules pairs out before their sets are compared.
 SKETCH = 1024
 _SETS = "sid long, shingles array<long>, sketch array<long>"
@@ -73,68 +83,147 @@ def set_hash(s: np.ndarray) -> int:
 
 
 class PartEnum:
-    """Signatures for Jaccard similarity ``num / den`` or more."""
+    """Signatures for Jaccard similarity ``num / den`` or more; ``differ`` and ``parts`` are k2 and n2."""
 
-    def __init__(self, num: int = 4, den: int = 5, growth: float = 1.5, spare: float = 0.25):
-        self.num, self.den, self.spare = num, den, spare
+    def __init__(self, num: int = 4, den: int = 5, growth: float = 1.5, spare: float = 0.25, differ: int = 1, parts: int = 3):
+        self.num, self.den, self.spare, self.differ, self.parts = num, den, spare, differ, parts
         self.tops = [4]
         while self.tops[-1] < 1 << 40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * growth)))
         self._tops = np.array(self.tops)
+        self._places: dict[int, np.ndarray] = {}
+        chosen = list(combinations(range(parts), parts - differ))
+        #: one row for each second-level partition, one column for each subset
+        self._subsets = np.array([[int(i in c) for c in chosen] for i in range(parts)], np.uint64)
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self._tops, n))
 
     def split(self, band: int) -> tuple[int, int]:
-        """k and e of a band: partitions that may differ, and more than one that agree."""
+        """k and e of a band: shingles that may differ, and first-level partitions more than one that agree."""
         k = 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
-        return k, int(np.ceil(self.spare * k))
+        return k, int(np.ceil(self.spare * (k // (self.differ + 1))))
 
     def signatures(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(band, signatures that the set may ignore, signatures) for each band in which a similar larger set may be."""
         n = len(s)
         out = []
+        value = mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         for band in range(self.band(n), self.band(n * self.den // self.num) + 1):
             k, e = self.split(band)
-            parts = np.uint64(k + 1 + e)
-            where = mixed(s + np.uint64(band * 0x51ED2701 + 1)) % parts
-            # sums of mixed values name the content of a partition, whatever the order
-            total = np.zeros(int(parts), np.uint64)
-            np.add.at(total, where.astype(np.int64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-            count = np.bincount(where.astype(np.int64), minlength=int(parts))
-            name = mixed(total + mixed(np.arange(int(parts), dtype=np.uint64) + np.uint64(band << 40)))
-            empty = int((count == 0).sum())
-            out.append((band, e - empty, name[count > 0]) if empty <= e else (band, 0, name))
+            if k == 0:  # only equal sets are similar
+                out.append((band, 0, mixed(value.sum(keepdims=True) + np.uint64(band << 40))))
+                continue
+            n1 = k // (self.differ + 1) + 1 + e
+            cell = (mixed(s + np.uint64(band * 0x51ED2701 + 1)) % np.uint64(n1 * self.parts)).astype(np.int64)
+            # sums of mixed values name the content of a cell or a subset of cells, whatever the order
+            total = np.zeros(n1 * self.parts, np.uint64)
+            np.add.at(total, cell, value)
+            total, count = total.reshape(n1, self.parts), np.bincount(cell, minlength=n1 * self.parts).reshape(n1, self.parts)
+            if self.differ == 1:  # a subset is all cells of a partition but one
+                total, count = total.sum(axis=1, keepdims=True) - total, count.sum(axis=1, keepdims=True) - count
+            else:
+                total, count = total @ self._subsets, count @ self._subsets.astype(np.int64)
+            if (place := self._places.get(band)) is None:
+                place = self._places[band] = mixed(np.arange(total.size, dtype=np.uint64) + np.uint64(band << 40))
+            name = mixed(total.reshape(-1) + place)
+            weak = int((count == 0).any(axis=1).sum())
+            out.append((band, e - weak, name[count.reshape(-1) > 0]) if weak <= e else (band, 0, name))
         return out
 
 
-_SIGNED = "doc_id long, n_shingles long, sid long, bands array<struct<part: long, sigs: array<long>>>"
+_SIGNED = "doc_id long, key long, n_shingles long, sid long, bucket long, sids binary, parts binary, at binary, sigs binary"
+_SIGNED_KINDS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("bucket", pa.int64()), ("sids", pa.binary()), ("parts", pa.binary()), ("at", pa.binary()), ("sigs", pa.binary())])
+_MET = "doc_id long, key long, n_shingles long, sid long, sig long, part long, n long"
+_MET_KINDS = pa.schema([(x.split(" ")[0], pa.int64()) for x in _MET.split(", ")])
+
+
+def _filled(kinds: pa.Schema, rows: int, **columns: object) -> pa.RecordBatch:
+    """A batch of ``rows`` rows with the columns given, the others null."""
+    cols = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in kinds]
+    return pa.RecordBatch.from_arrays(cols, schema=kinds)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum) -> Iterator[pa.RecordBatch]:
-    """Each document's number of shingles, the name of its set, and the set's signatures by band; part has the band and
-    how many signatures the set may ignore there. A set that comes again in the same task gives no more."""
-    kind = pa.list_(pa.struct([("part", pa.int64()), ("sigs", pa.list_(pa.int64()))]))
+def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with its number of shingles and the name of its set, and rows of the sets' signatures
+    for each bucket: ``sids`` and ``parts`` (band and how many signatures may be ignored) name sets, ``at`` and ``sigs``
+    are the signatures with their places in those. A set that comes again in the same task gives no more."""
     seen: set[int] = set()
     for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            part = batch.slice(begin, 500)
-            sizes, sids, ends, parts, lengths, sigs = [], [], [0], [], [0], []
-            for text in part.column(1).to_pylist():
+        for part in slices(batch, 2, 2 << 20):
+            sizes, names, sids, parts, lengths, sigs = [], [], [], [], [], []
+            for text in part.column(2).to_pylist():
                 s = shingle_set(text)
                 sizes.append(len(s))
-                sids.append(set_hash(s) if len(s) else None)
-                if len(s) and sids[-1] not in seen:
-                    seen.add(sids[-1])
+                names.append(set_hash(s) if len(s) else None)
+                if len(s) and names[-1] not in seen:
+                    seen.add(names[-1])
                     for band, free, own in scheme.signatures(s):
-                        parts.append(band << 40 | free)
-                        lengths.append(lengths[-1] + len(own))
+                        sids.append(names[-1])
+                        parts.append(band << 24 | free)
+                        lengths.append(len(own))
                         sigs.append(own)
-                ends.append(len(parts))
-            flat = pa.array(np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64))
-            inner = pa.StructArray.from_arrays([pa.array(parts, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["part", "sigs"])
-            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner).cast(kind)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), bands], ["doc_id", "n_shingles", "sid", "bands"])
+            n = part.num_rows
+            yield _filled(_SIGNED_KINDS, n, doc_id=part.column(0), key=part.column(1), n_shingles=sizes, sid=names, bucket=np.arange(n) % buckets)
+            if not sigs:
+                continue
+            sig, at = np.concatenate(sigs), np.repeat(np.arange(len(sids), dtype=np.uint32), lengths)
+            bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+            all_sids, all_parts = np.array(sids, np.int64), np.array(parts, np.uint32)
+            rows = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                here = order[a:b]
+                used, where = np.unique(at[here], return_inverse=True)
+                small = where.astype("<u2") if len(used) <= 1 << 16 else where.astype("<u4")
+                rows.append((int(bucket[here[0]]), all_sids[used].tobytes(), all_parts[used].tobytes(), small.tobytes(), (sig[here] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+            cols = dict(zip(("bucket", "sids", "parts", "at", "sigs"), zip(*rows, strict=True), strict=True))
+            yield _filled(_SIGNED_KINDS, len(rows), **cols)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by bucket: documents pass, and of signatures those that several sets have, with their number."""
+    held: list[tuple] = []
+    number = None
+
+    def out() -> pa.RecordBatch:
+        sids, parts, packed, size = [], [], [], 0
+        for own, own_parts, at, sigs in held:
+            sids.append(np.frombuffer(own, np.int64))
+            parts.append(np.frombuffer(own_parts, np.uint32))
+            sig = np.frombuffer(sigs, "<u4").astype(np.uint64)
+            place = np.frombuffer(at, "<u2" if len(at) == 2 * len(sig) else "<u4").astype(np.uint64)
+            packed.append(sig << np.uint64(32) | place + np.uint64(size))
+            size += len(sids[-1])
+        held.clear()
+        rows = np.sort(np.concatenate(packed))
+        sig = rows >> np.uint64(32)
+        same = sig[1:] == sig[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        sig, at = sig[several].astype(np.int64), (rows[several] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sid, part = np.concatenate(sids)[at], np.concatenate(parts)[at].astype(np.int64)
+        order = np.lexsort((sid, sig))  # a set of two tasks counts once
+        sig, sid, part = sig[order], sid[order], part[order]
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]) if len(sig) else np.empty(0, bool)
+        sig, sid, part = sig[once], sid[once], part[once]
+        _, where, counts = np.unique(sig, return_inverse=True, return_counts=True)
+        n = counts[where] if len(sig) else np.empty(0, np.int64)
+        few = n > 1
+        return _filled(_MET_KINDS, int(few.sum()), sid=sid[few], sig=number << 32 | sig[few], part=part[few], n=n[few])
+
+    for batch in batches:
+        is_doc = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+        docs = batch.filter(pa.array(is_doc))
+        yield _filled(_MET_KINDS, docs.num_rows, **{k: docs.column(i) for i, k in enumerate(("doc_id", "key", "n_shingles", "sid"))})
+        for i in np.flatnonzero(~is_doc).tolist():
+            bucket = batch.column(4)[i].as_py()
+            if held and bucket != number:
+                yield out()
+            number = bucket
+            held.append(tuple(batch.column(k)[i].as_py() for k in (5, 6, 7, 8)))
+    if held:
+        yield out()
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -145,24 +234,26 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The sets of texts whose keys are wanted, each once in a task."""
     seen: set[int] = set()
     for batch in batches:
-        rows = []
-        ids = batch.column(0).to_pylist()
-        if wanted is not None:
-            at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
-            keep = np.flatnonzero(wanted[at] == np.array(ids)).tolist() if len(ids) else []
-        else:
-            keep = range(len(ids))
-        texts = batch.column(1)
-        for i in keep:
-            s = shingle_set(texts[i].as_py())
-            sid = set_hash(s) if len(s) else None
-            if sid is not None and sid not in seen:
-                seen.add(sid)
-                rows.append((sid, s.view(np.int64), sketch(s)))
-        cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))]
-        yield pa.RecordBatch.from_arrays(cols, ["sid", "shingles", "sketch"])
+        for part in slices(batch, 1, 2 << 20):
+            keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
+                keep = np.flatnonzero(wanted[at] == keys).tolist() if len(wanted) else []
+            else:
+                keep = range(len(keys))
+            rows = []
+            for i in keep:
+                if int(keys[i]) in seen:
+                    continue
+                seen.add(int(keys[i]))
+                s = shingle_set(part.column(1)[i].as_py())
+                if len(s):
+                    rows.append((set_hash(s), s.view(np.int64), sketch(s)))
+            cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(cols, ["sid", "shingles", "sketch"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,46 +291,37 @@ def _rare_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (sig, sid) where sig is a shingle: the limit of ever finer partitions. A set's rarest shingles, as many as
     may differ and one more, hold one that each similar set has among its own."""
     each = sets.select("sid", F.size("shingles").alias("size"), F.explode("shingles").alias("sig"))
-    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    # counted with a partial sum in each task; the join's large partitions can be split, which a window's can't
+    several = each.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    counted = each.join(several, "sig", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("n", "sig"))
     least = F.ceil(F.col("size") * num / den)
     return counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - least + 1) & (F.col("n") > 1)).select("sig", "sid")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, turns: int = 6) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document.
-
-    Two documents link when den * |intersection| >= num * |union| of their sets of 5-word shingles. Null and empty texts
-    and texts without words have no shingles and are linked with nothing: their component is themselves. Equal sets
-    are one set, so copies cost nothing and are linked. Rows with a null id take part as any other; a component of
-    null ids only is null. Other columns are not read. An empty table gives no rows.
-
-    ``turns`` is the most rounds in which a group's sets are compared with one of them; whatever is in different
-    components after them is compared pair by pair, so it changes no result.
-    """
+def _named(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, turns: int) -> DataFrame:
+    """doc_id, key, n_shingles, sid and component (a set's name) of every document."""
     spark = docs.sparkSession
     scheme = PartEnum(num, den)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(plain.mapInArrow(lambda it: _signed(it, scheme), _SIGNED), "signed")
-    narrow = signed.select("doc_id", "n_shingles", "sid")
-    rows = signed.select("sid", F.explode("bands").alias("b")).select("sid", F.col("b.part").alias("part"), F.explode("b.sigs").alias("sig"))
-    # one exchange: rows of a signature meet, doubles from other tasks go, and so does what only one set has
-    by_sig = rows.repartition("sig").dropDuplicates(["sig", "sid"])
-    counted = by_sig.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    dealt = plain.mapInArrow(lambda it: _signed(it, scheme, buckets), _SIGNED).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    met = cut(dealt.mapInArrow(_met, _MET), "met")
+    narrow = met.where("sig IS NULL").select("doc_id", "key", "n_shingles", "sid")
+    counted = met.where("sig IS NOT NULL").select("sig", "sid", "part", "n").withColumn("band", F.shiftright("part", 24))
     rank = F.row_number().over(Window.partitionBy("sid", "band").orderBy(F.desc("n"), "sig"))
-    free = F.col("part").bitwiseAND((1 << 40) - 1)
-    kept = counted.withColumn("band", F.shiftright("part", 40)).withColumn("rank", rank).where(F.col("rank") > free)
+    kept = counted.withColumn("rank", rank).where(F.col("rank") > F.col("part").bitwiseAND((1 << 24) - 1))
     kept = cut(kept.select("sig", "sid"), "signatures")
     shared = cut(_distinct_groups(kept), "groups")
     in_groups = shared.select("sid").distinct()
-    # one document of each set that is in a group is read again
-    chosen = cut(narrow.join(in_groups, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "chosen")
+    # one text of each set that is in a group is read again
+    chosen = cut(narrow.join(in_groups, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key"), "chosen")
+    texts = plain.select("key", "text")
     if 8 * chosen.count() <= BROADCAST_BYTES:
-        wanted = np.sort(np.array([r[0] for r in chosen.where("doc_id IS NOT NULL").collect()] or [-1], np.int64))
-        sent = spark.sparkContext.broadcast(wanted)
-        read = plain.where("doc_id IS NOT NULL").mapInArrow(lambda it: _sets(it, sent.value), _SETS)
+        sent = spark.sparkContext.broadcast(np.sort(chosen.toArrow().column("key").to_numpy()))
+        read = texts.mapInArrow(lambda it: _sets(it, sent.value), _SETS)
     else:
-        read = plain.join(chosen, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, None), _SETS)
+        read = texts.join(chosen, "key", "left_semi").mapInArrow(lambda it: _sets(it, None), _SETS)
     sets = cut(read.dropDuplicates(["sid"]), "shingles")
     sizes = cut(sets.select("sid", F.size("shingles").alias("size"), "sketch"), "sizes")
     found = sizes.select(F.col("sid").alias("node"), F.col("sid").alias("component"))
@@ -268,10 +350,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     across = across.join(tested, ["a", "b"], "left_anti")
     final = components(cut(_verified(cut(across, "across"), sets, num, den), "more"), found)
     named = narrow.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = cut(named, "named")
+    return cut(named, "named")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, turns: int = 6) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), key (a hash of the text) and group (a name
+    of the component that null ids have too; null without shingles) of every document.
+
+    Two documents link when den * |intersection| >= num * |union| of their sets of 5-word shingles. Null and empty texts
+    and texts without words have no shingles and are linked with nothing: their component is themselves. Equal sets
+    are one set, so copies cost nothing and are linked. Sets are named by 64 bits. Rows with a null id take part as any
+    other; a component of null ids only has a null component_id. Rows that repeat an id, with one text or several, are documents of
+    their own and link by their texts. Other columns are not read. An empty table gives no rows.
+
+    ``turns`` is the most rounds in which a group's sets are compared with one of them; whatever is in different
+    components after them is compared pair by pair, so it changes no result.
+    """
+    own = Workspace()
+    with own:
+        named = _named(docs, id_col, text_col, num, den, turns)
+    own.keep(named)
+    own.close()  # whatever led to the components is no longer needed
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "key", F.col("component").alias("group"))
 
 
 def _may_be_similar(x: str, y: str, num: int, den: int) -> Column:

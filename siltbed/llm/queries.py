@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm import classifier, html_text, jaccard, media, mixing, packing, rollups, rules, substrings, token_output
@@ -54,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(documents(spark, sf_dir))
+    return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,14 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = counts.groupBy("sha").agg(F.min("doc_id").alias("kept"))
     copies = counts.join(kept, "sha").where(F.col("doc_id") != F.col("kept"))
     path = fresh_path(spark, "rollups")
-    first, words, bpe = F.col("first"), F.col("words"), F.col("bpe")
-    rollups.commit(rollups.inserts(counts, "words", first).unionByName(rollups.inserts(counts, "byte_bpe_50k", bpe)), path, 1)
+
+    def rows(of: DataFrame, version: str, n: Column) -> DataFrame:
+        return of.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), n.cast("long").alias("tokens"))
+
+    rollups.change(rows(counts, "words", F.col("first")).unionByName(rows(counts, "byte_bpe_50k", F.col("bpe"))), path, 1)
     for _ in range(2):
-        rollups.commit(rollups.revisions(counts, "words", first, words), path, 2)
-    rollups.commit(rollups.deletes(copies, "words", words).unionByName(rollups.deletes(copies, "byte_bpe_50k", bpe)), path, 3)
+        rollups.change(rows(counts.where("NOT (first <=> words)"), "words", F.col("words")), path, 2)
+    rollups.change(rows(copies, "words", F.lit(None)).unionByName(rows(copies, "byte_bpe_50k", F.lit(None))), path, 3)
     return rollups.totals(spark, path)
 
 
