@@ -280,6 +280,14 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_doubtful_names_inside_an_article(spark):
+    """A part of a class or id isn't enough to delete what stands inside an article; a line of the nearest page is."""
+    page = "<article><h1>T{0}</h1><div class='related-work'><p>Work {0}</p><p>See also our shop</p></div><p id='comment-on-x'>On x {0}</p><p class='social-history big'>History {0}</p><div class='ad-slot-1'>Buy {0}</div><div class='comments'>c {0}</div><p>See also our shop</p></article>"
+    df = spark.createDataFrame([(k, f"http://e.org/a/{k}", page.format(k)) for k in (1, 2)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).collect()}
+    assert got == {k: f"T{k}\nWork {k}\nOn x {k}\nHistory {k}\nSee also our shop" for k in (1, 2)}
+
+
 def test_html_does_not_depend_on_partitions(spark):
     """Pages without a marked article, in hosts of one to three pages, over more partitions than hosts."""
     rng = random.Random(8)
@@ -413,3 +421,24 @@ def test_rollups(spark, docs, none, by_id, texts):
             n = len(tok.encode(t or "", add_special_tokens=False).ids) + (i * 3 + 1 < 40)
             want[([None, "b", "a", "ä"][i % 4], [None, "en", "de"][i % 3])] += n
     assert {(r["source"], r["lang"]): r["tokens"] for r in rollups.totals(spark, path).collect()} == dict(want)
+
+
+def test_rollups_broken_commit_and_changes(spark, monkeypatch):
+    """A commit that is lost before its marker never counts; revisions and deletes take the store's own old counts."""
+    path = fresh_path(spark, "r")
+    kind = "doc_id long, source string, lang string, tokenizer string, tokens long"
+    rows = lambda *x: spark.createDataFrame(list(x), kind)
+    got = lambda: {(r["source"], r["tokenizer"]): (r["documents"], r["tokens"], r["last_batch"]) for r in rollups.totals(spark, path).collect()}
+    assert got() == {}
+    with monkeypatch.context() as m:
+        m.setattr(rollups, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            rollups.change(rows((1, "a", "en", "v", 10)), path, 1)
+    assert got() == {}
+    rollups.change(rows((1, "a", "en", "v", 10), (2, "a", "en", "v", 5), (None, None, None, "v", 7)), path, 1)
+    rollups.change(rows((9, "a", "en", "v", 99)), path, 1)  # the batch is there
+    assert got() == {("a", "v"): (2, 15, 1), (None, "v"): (1, 7, 1)}
+    rollups.change(rows((1, "b", "en", "v", 11), (3, "a", "en", "v", None)), path, 2)
+    assert got() == {("a", "v"): (1, 5, 2), ("b", "v"): (1, 11, 2), (None, "v"): (1, 7, 1)}
+    rollups.change(rows((None, "z", None, "v", None), (2, "a", "en", "v", 6)), path, 3)
+    assert got() == {("a", "v"): (1, 6, 3), ("b", "v"): (1, 11, 2)}
