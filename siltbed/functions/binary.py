@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType
 
 # Fixed values of the format.
 SIGNATURE = b"ArC\x01"
@@ -96,19 +96,77 @@ def find_signatures(data: bytes, window: int = 4096) -> list[int]:
     return out
 
 
-@F.pandas_udf(LongType())
-def adler32(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else zlib.adler32(b)).astype("Int64")
+def byte_codes(data: Column) -> Column:
+    """The bytes as an array of numbers."""
+    raw = F.hex(data)
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    return F.when(F.octet_length(data) > 0, codes).when(data.isNotNull(), F.array().cast("array<long>"))
 
 
-@F.pandas_udf(BinaryType())
-def varint_bytes(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: None if v is None else encode_varint(int(v)))
+def adler_sums(codes: Column) -> tuple[Column, Column]:
+    """The sum of the bytes, and that of each byte times the number of bytes from it on."""
+    zero, n = F.lit(0).cast("long"), F.size(codes)
+    plus = lambda s, x: s + x
+    return F.aggregate(codes, zero, plus), F.aggregate(F.transform(codes, lambda x, i: (n - i) * x), zero, plus)
+
+
+def adler32(data: Column) -> Column:
+    total, weighted = adler_sums(byte_codes(data))
+    return (F.octet_length(data) + weighted) % 65521 * 65536 + (1 + total) % 65521
+
+
+def _low_first(raw: Column, size: int) -> Column:
+    """Hexadecimal digits of ``size`` bytes in the other order."""
+    return F.concat(*(F.substring(raw, 2 * k - 1, 2) for k in range(size, 0, -1)))
+
+
+def varint_hex(value: Column) -> Column:
+    """A non-negative integer in the format of ``encode_varint``, as hexadecimal."""
+    out = F.concat(F.lit("FF"), _low_first(F.lpad(F.hex(value), 16, "0"), 8))
+    for size in range(8, 0, -1):
+        packed = F.shiftleft(value.cast("long"), size).bitwiseOR((1 << (size - 1)) - 1)
+        out = F.when(value < F.lit(1 << (7 * size)), _low_first(F.lpad(F.hex(packed), 2 * size, "0"), size)).otherwise(out)
+    return out
+
+
+def varint_bytes(value: Column) -> Column:
+    return F.unhex(varint_hex(value))
+
+
+def varint_value(data: Column) -> Column:
+    """The integer at the start of some bytes; null if they are too few."""
+    raw = F.hex(data)
+    number = lambda at, size: F.conv(_low_first(F.substring(raw, at, 2 * size), size), 16, -10).cast("long")
+    first = F.conv(F.substring(raw, 1, 2), 16, 10).cast("int")
+    out, least = number(3, 8), F.lit(9)
+    for size in range(8, 0, -1):
+        ones = (1 << (size - 1)) - 1
+        here = first.bitwiseAND((1 << size) - 1) == ones
+        out = F.when(here, F.shiftrightunsigned(number(1, size), size)).otherwise(out)
+        least = F.when(here, size).otherwise(least)
+    return F.when(F.octet_length(data) >= least, out)
+
+
+def u32_list(values: Column) -> Column:
+    """Numbers below 2**32 as four bytes each, the low one first, as hexadecimal."""
+    return F.array_join(F.transform(values, lambda v: _low_first(F.lpad(F.hex(v.cast("long")), 8, "0"), 4)), "")
+
+
+def take_u32_list(raw: Column) -> Column:
+    """The numbers that hexadecimal digits of ``u32_list`` hold."""
+    at = F.sequence(F.lit(1), F.length(raw), F.lit(8))
+    numbers = F.transform(at, lambda i: F.conv(_low_first(F.substr(raw, i, F.lit(8)), 4), 16, 10).cast("long"))
+    return F.when(F.length(raw) > 0, numbers).otherwise(F.array().cast("array<long>"))
+
+
+def cstring_list(values: Column) -> Column:
+    """Texts, each ended by a zero byte, as hexadecimal."""
+    return F.array_join(F.transform(values, lambda v: F.concat(F.hex(v.cast("binary")), F.lit("00"))), "")
 
 
-@F.pandas_udf(LongType())
-def varint_value(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else decode_varint(bytes(b))[0]).astype("Int64")
+def take_cstring_list(raw: Column) -> Column:
+    """The texts that hexadecimal digits of ``cstring_list`` hold."""
+    return F.transform(F.regexp_extract_all(raw, F.lit("((?:(?!00)..)*)00"), 1), lambda x: F.unhex(x).cast("string"))
 
 
 def hmac_sha256(text: Column, key: bytes) -> Column:

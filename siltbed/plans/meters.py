@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltbed.functions import binary
 from siltbed.operators import ordered as o
 from siltbed.plans.registry import query, table
 
@@ -127,13 +128,10 @@ def entropy_modes(spark, sf_dir):
 def crc_sink(spark, sf_dir):
     """One Adler-32 over all of a stream's packets in order. Its sums are of bytes, and of bytes by the number of those
     after them, so packets are summed apart and only their lengths stand in order."""
-    raw = F.hex(F.col("props").cast("binary"))
-    length = F.octet_length("props").cast("long")
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length("props")), lambda i: F.conv(F.substr(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", length.alias("len"), F.when(length > 0, codes).otherwise(F.array().cast("array<long>")).alias("c"))
-    zero = F.lit(0).cast("long")
-    weighted = F.aggregate(F.transform("c", lambda x, i: (F.col("len") - i) * x), zero, lambda s, x: s + x)
-    sums = rows.select("user_id", "ts", "event_id", "len", F.aggregate("c", zero, lambda s, x: s + x).alias("total"), weighted.alias("weighted"))
+    data = F.col("props").cast("binary")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.octet_length("props").cast("long").alias("len"), binary.byte_codes(data).alias("c"))
+    total, weighted = binary.adler_sums(F.col("c"))
+    sums = rows.select("user_id", "ts", "event_id", "len", total.alias("total"), weighted.alias("weighted"))
     by = Window.partitionBy("user_id")
     after = F.sum("len").over(by) - F.sum("len").over(by.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     placed = sums.withColumn("hi", (F.col("weighted") + F.col("total") * (after % 65521)) % 65521)

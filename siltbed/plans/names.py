@@ -254,6 +254,36 @@ def record_rw(spark, sf_dir):
     return read.select("n_nationkey", "cstring", "record", "name", binary.take_u32(F.col("rest")).alias("region"), (F.substring(F.hex("rest"), 9, 2) != "00").alias("even"))
 
 
+def _low_sql(x: str, size: int) -> str:
+    return " || ".join(f"substr({x}, {2 * k - 1}, 2)" for k in range(size, 0, -1))
+
+
+_VARINT = "CASE " + " ".join(f"WHEN v < {1 << 7 * k} THEN {_low_sql(f'lpad(to_hex((v << {k}) | {(1 << (k - 1)) - 1}), {2 * k}, chr(48))', k)}" for k in range(1, 9)) + " END"
+
+
+@query(f"WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey * l_partkey AS v FROM lineitem) SELECT l_orderkey, l_linenumber, v, {_VARINT} AS bytes, v AS back FROM x")
+def varint_hex(spark, sf_dir):
+    """Products of keys as integers of variable length, in hexadecimal, and read again."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * F.col("l_partkey")).alias("v"))
+    coded = rows.withColumn("bytes", binary.varint_hex(F.col("v")))
+    return coded.withColumn("back", binary.varint_value(F.unhex("bytes")))
+
+
+_U32 = _low_sql("lpad(to_hex(x), 8, '0')", 4)
+
+
+@query(
+    f"""WITH l AS (SELECT p_partkey, [p_partkey, CAST(p_size AS BIGINT), p_partkey * 7919 % 4294967296] AS numbers, [p_name, p_brand, p_type] AS texts FROM part)
+ SELECT p_partkey, array_to_string(list_transform(numbers, lambda x: {_U32}), '') AS u32s, array_to_string(list_transform(texts, lambda x: hex(encode(x)) || '00'), '') AS cstrings, array_to_string(numbers, ',') AS numbers, array_to_string(texts, '|') AS texts FROM l"""
+)
+def list_rw(spark, sf_dir):
+    """Lists of 32-bit numbers and of zero-ended texts as bytes, in hexadecimal, and read again."""
+    key = F.col("p_partkey")
+    lists = table(spark, sf_dir, "part").select("p_partkey", F.array(key, F.col("p_size").cast("long"), key * 7919 % (1 << 32)).alias("n"), F.array("p_name", "p_brand", "p_type").alias("t"))
+    raw = lists.select("p_partkey", binary.u32_list(F.col("n")).alias("u32s"), binary.cstring_list(F.col("t")).alias("cstrings"))
+    return raw.select("*", F.array_join(binary.take_u32_list(F.col("u32s")).cast("array<string>"), ",").alias("numbers"), F.array_join(binary.take_cstring_list(F.col("cstrings")), "|").alias("texts"))
+
+
 _STREAMS = """streams AS (SELECT n_nationkey AS i, n_nationkey % 2 = 0 AS video FROM nation),
  headed AS (SELECT i, unnest(CASE WHEN video THEN ['#tb ' || i || ': 1/' || (25 + i), '#media_type ' || i || ': video', '#codec_id ' || i || ': rawvideo', '#dimensions ' || i || ': ' || (320 + 16 * i) || 'x' || (240 + 16 * i), '#sar ' || i || ': 1/1']
  ELSE ['#tb ' || i || ': 1/' || (8000 * i), '#media_type ' || i || ': audio', '#codec_id ' || i || ': pcm_s16le', '#sample_rate ' || i || ': ' || (8000 * i), '#channel_layout_name ' || i || ': stereo'] END) AS line FROM streams)"""
