@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import cut, fresh_path, slices
-from siltbed.llm.tokens import default_path, forget, tokenizer
+from siltbed.llm.shared import Workspace, cut, fresh_path, only, slices, small_batches
+from siltbed.llm.tokens import default_path, tokenizer
 
 #: Row c: the lengths in bytes of the four values that control byte c stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k)) & 3 for k in range(4)], axis=1).astype(np.int64) + 1
@@ -28,7 +28,6 @@ LENGTHS = np.stack([(np.arange(256) >> (2 * k)) & 3 for k in range(4)], axis=1).
 #: Documents of one shard, about, and value bytes of one block.
 SHARD_DOCS, BLOCK_BYTES = 20_000, 64_000
 
-_DOC = "doc_id long, tie long, n_tokens long, control binary, data binary"
 _BLOCK = "shard long, block long, start long, n_docs long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
@@ -58,12 +57,21 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The ids of each document; and as a task's last row how often it has had each id, as 64-bit integers."""
+    only("tokens")
     tok = tokenizer(path)
     end = np.array([end_id], tok.dtype).tobytes()
+    counts = np.zeros(0, np.int64)
     for batch in batches:
         for part in slices(batch, 2):
-            ids = pa.array([b + end for b in tok.ids_bytes(part.column(2).to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
+            ids = [b + end for b in tok.ids_bytes(part.column(2).to_pylist())]
+            got = np.bincount(np.frombuffer(b"".join(ids), tok.dtype), minlength=len(counts))
+            got[: len(counts)] += counts
+            counts = got
+            cols = [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "ids", "counts"])
+    last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(last, ["doc_id", "tie", "ids", "counts"])
 
 
 def _arrays(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -74,28 +82,28 @@ def _arrays(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return flat.view(dtype) if len(flat) else np.empty(0, dtype), np.diff(offsets) // dtype.itemsize
 
 
-def _count(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
-    forget()
-    counts = np.zeros(0, np.int64)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n) over the counts of some tasks."""
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        ids, _ = _arrays(batch.column(0), dtype)
-        got = np.bincount(ids, minlength=len(counts))
-        got[: len(counts)] += counts
-        counts = got
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], ["id", "n"])
+        for raw in batch.column(0):
+            got = np.frombuffer(raw.as_py(), "<i8")
+            total = np.pad(total, (0, max(0, len(got) - len(total))))
+            total[: len(got)] += got
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    only()
     for batch in batches:
         for part in slices(batch, 2, 1 << 20):
             ids, each = _arrays(part.column(2), dtype)
             ranks = rank[ids]
             ends = np.cumsum(each)
             pairs = [encode(ranks[a:b]) for a, b in zip((ends - each).tolist(), ends.tolist(), strict=True)]
-            cols = [part.column(0), part.column(1), pa.array(each, pa.int64())]
-            cols += [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "n_tokens", "control", "data"])
+            cols = [part.column(0), pa.array(each, pa.int64()), *(pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "control", "data"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +123,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [shard, block, start, len(ids), sum(counts), ids, counts, control, b"".join(h[3] for h in held)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    parts = (part for batch in batches for part in slices(batch, 4))
-    for part in parts:
-        for doc, n, control, data in zip(*(part.column(k).to_pylist() for k in ("doc_id", "n_tokens", "control", "data")), strict=True):
+    for batch in batches:
+        for doc, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and size >= BLOCK_BYTES:
                 yield out()
                 start, block = start + sum(h[1] for h in held), block + 1
@@ -140,22 +147,26 @@ def write_token_files(
     tok = tokenizer_path or default_path()
     dtype = tokenizer(tok).dtype
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    ids = cut(plain.mapInArrow(lambda it: _ids(it, tok, end_id), "doc_id long, tie long, ids binary"), "ids")
+    made = cut(plain.mapInArrow(lambda it: _ids(it, tok, end_id), "doc_id long, tie long, ids binary, counts binary"), "ids")
+    ids = made.where("counts IS NULL").drop("counts")
     # one row for each id of the vocabulary at most
-    counted = ids.select("ids").mapInArrow(lambda it: _count(it, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    counted = made.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     rank = np.zeros(int(max([end_id, *counted["id"]])) + 1, np.uint32)
     rank[counted["id"].to_numpy(np.int64)] = np.arange(len(counted), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(counted["id"])], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     sent = spark.sparkContext.broadcast(rank)
     shards = max(1, -(-ids.count() // SHARD_DOCS))
-    coded = ids.mapInArrow(lambda it: _encoded(it, sent.value, dtype), _DOC)
-    # the number is explicit, so ranges stay apart and the task's number is the shard's
-    dealt = coded.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("tie"))
-    dealt.mapInArrow(_blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    # the number is explicit, so ranges stay apart and the task's number is the shard's; ids are encoded after that, as
+    # Spark reads what it deals once more for the ranges
+    order = F.asc_nulls_first("doc_id"), F.asc("tie")
+    dealt = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    with small_batches(spark):
+        dealt.mapInArrow(lambda it: _blocks(_encoded(it, sent.value, dtype)), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    only()
     for batch in batches:
         for i in range(batch.num_rows):  # a block at a time, as its values take several times its room
             row = batch.slice(i, 1).to_pylist()[0]
@@ -186,4 +197,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_files(docs: DataFrame, **options) -> DataFrame:
     """Writes the files into a new folder of the shared one and reads them back."""
     spark = docs.sparkSession
-    return read_token_files(spark, write_token_files(docs, fresh_path(spark, "tokens"), **options))
+    path, own = fresh_path(spark, "tokens"), Workspace()
+    with own:
+        write_token_files(docs, path, **options)
+    own.close()
+    return read_token_files(spark, path)

@@ -12,6 +12,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from siltbed.llm.shared import cache
 
 #: White space other than a space or a line feed. A few characters more than the library's own white space stand
 #: here, which only means fewer cuts.
@@ -39,7 +43,7 @@ class WordTokenizer:
     the bytes that each id stands for tell where a word's ids end.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -115,27 +119,51 @@ class WordTokenizer:
             (young if len(w) <= self._longest else passing)[w] = ids
         return young if not passing else {w: young[w] if w in young else passing[w] for w in words}
 
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """The start of a text, which is encoded as it is, and the words after it, for ``learn``."""
+    def _odd(self, text: str) -> bool:
+        """Whether a text can't be cut at each single space and before each line feed."""
+        return bool(
+            self._added is not None and self._added.search(text)
+            or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)
+        )
+
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of some texts that aren't odd: their words become codes of a dictionary, whose entries are looked up
+        once each, and the codes become ids again, all in Arrow."""
+        lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.values
+        starts = words.take(pa.array(offsets[:-1])).to_pylist()  # a text's start has no space before it
+        later = np.ones(len(words), bool)
+        later[offsets[:-1]] = False
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        get = self.learn(set(known)).__getitem__
+        ids = pa.array([get(w) for w in known], pa.large_binary())
+        flat = ids.take(coded.indices)
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1][offsets - np.arange(len(offsets))].tolist() if len(flat) else [0] * len(offsets)
+        raw = memoryview(flat.buffers()[2]) if flat.buffers()[2] is not None else b""
+        for start, begin, end in zip(starts, ends[:-1], ends[1:], strict=True):
+            yield self._raw(start) + raw[begin:end]
+
+    def _odd_ids(self, text: str) -> bytes:
         if self._added is not None and self._added.search(text):
-            return text, []
-        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or _ODD.search(text)
-        parts = _CUT.split(text) if odd else text.replace("\n", " \n").split(" ")
-        return parts[0], parts[1:]
+            return self._raw(text)
+        first, *words = _CUT.split(text)
+        return self._raw(first) + b"".join(map(self.learn(set(words)).__getitem__, words))
 
     def ids_bytes(self, texts: Iterable[str | None], chars: int = 5_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; null is empty. Works on some ``chars`` characters at once."""
-        held: list[tuple[str, list[str]]] = []
+        held: list[str] = []
         size = 0
 
         def out() -> Iterator[bytes]:
-            get = self.learn(set().union(*(ws for _, ws in held))).__getitem__
-            for first, ws in held:
-                yield self._raw(first) + b"".join(map(get, ws))
+            odd = [self._odd(t) for t in held]
+            plain = self._by_words([t for t, x in zip(held, odd, strict=True) if not x]) if not all(odd) else iter(())
+            for t, x in zip(held, odd, strict=True):
+                yield self._odd_ids(t) if x else next(plain)
 
         for text in texts:
-            held.append(self.pieces(text or ""))
-            size += len(text or "")
+            held.append(text or "")
+            size += len(held[-1])
             if size > chars:
                 yield from out()
                 held.clear()
@@ -154,6 +182,4 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def forget() -> None:
-    """Drops the tokenizers of a worker process with the words they know, for a step that needs none."""
-    _LOADED.clear()
+cache("tokens", _LOADED.clear)
