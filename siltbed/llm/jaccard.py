@@ -36,11 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.graph import components
-from siltbed.llm.shared import WORD, Workspace, cut, slices
+from siltbed.llm.shared import WORD, Workspace, cache, cut, only, slices
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _KNOWN: dict[str, int] = {}
+cache("words", _KNOWN.clear)
 #: Bytes of candidates' keys that are broadcast at most; beyond it they are joined.
 BROADCAST_BYTES = 32 << 20
 #: Documents whose signatures share one bucket, about.
@@ -148,6 +149,7 @@ def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum, buckets: int) -
     """A row for each document, with its number of shingles and the name of its set, and rows of the sets' signatures
     for each bucket: ``sids`` and ``parts`` (band and how many signatures may be ignored) name sets, ``at`` and ``sigs``
     are the signatures with their places in those. A set that comes again in the same task gives no more."""
+    only("words")
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, 2, 2 << 20):
@@ -168,7 +170,8 @@ def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum, buckets: int) -
             if not sigs:
                 continue
             sig, at = np.concatenate(sigs), np.repeat(np.arange(len(sids), dtype=np.uint32), lengths)
-            bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
+            bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+            low = np.ascontiguousarray(sig.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits within a bucket
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
             all_sids, all_parts = np.array(sids, np.int64), np.array(parts, np.uint32)
@@ -177,31 +180,34 @@ def _signed(batches: Iterator[pa.RecordBatch], scheme: PartEnum, buckets: int) -
                 here = order[a:b]
                 used, where = np.unique(at[here], return_inverse=True)
                 small = where.astype("<u2") if len(used) <= 1 << 16 else where.astype("<u4")
-                rows.append((int(bucket[here[0]]), all_sids[used].tobytes(), all_parts[used].tobytes(), small.tobytes(), (sig[here] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+                rows.append((int(bucket[here[0]]), all_sids[used].tobytes(), all_parts[used].tobytes(), small.tobytes(), low[here].tobytes()))
             cols = dict(zip(("bucket", "sids", "parts", "at", "sigs"), zip(*rows, strict=True), strict=True))
             yield _filled(_SIGNED_KINDS, len(rows), **cols)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by bucket: documents pass, and of signatures those that several sets have, with their number."""
+    only()
     held: list[tuple] = []
     number = None
 
     def out() -> pa.RecordBatch:
-        sids, parts, packed, size = [], [], [], 0
+        sids, parts, places, low, size = [], [], [], [], 0
         for own, own_parts, at, sigs in held:
             sids.append(np.frombuffer(own, np.int64))
             parts.append(np.frombuffer(own_parts, np.uint32))
-            sig = np.frombuffer(sigs, "<u4").astype(np.uint64)
-            place = np.frombuffer(at, "<u2" if len(at) == 2 * len(sig) else "<u4").astype(np.uint64)
-            packed.append(sig << np.uint64(32) | place + np.uint64(size))
+            low.append(np.frombuffer(sigs, np.uint8).reshape(-1, 5))
+            places.append(np.frombuffer(at, "<u2" if len(at) == 2 * len(low[-1]) else "<u4").astype(np.int64) + size)
             size += len(sids[-1])
         held.clear()
-        rows = np.sort(np.concatenate(packed))
-        sig = rows >> np.uint64(32)
+        wide = np.zeros((sum(map(len, low)), 8), np.uint8)
+        np.concatenate(low, out=wide[:, :5])
+        sig = wide.view("<i8").reshape(-1)
+        order = np.argsort(sig)
+        sig = sig[order]
         same = sig[1:] == sig[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        sig, at = sig[several].astype(np.int64), (rows[several] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sig, at = sig[several], np.concatenate(places)[order[several]]
         sid, part = np.concatenate(sids)[at], np.concatenate(parts)[at].astype(np.int64)
         order = np.lexsort((sid, sig))  # a set of two tasks counts once
         sig, sid, part = sig[order], sid[order], part[order]
@@ -210,7 +216,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, where, counts = np.unique(sig, return_inverse=True, return_counts=True)
         n = counts[where] if len(sig) else np.empty(0, np.int64)
         few = n > 1
-        return _filled(_MET_KINDS, int(few.sum()), sid=sid[few], sig=number << 32 | sig[few], part=part[few], n=n[few])
+        return _filled(_MET_KINDS, int(few.sum()), sid=sid[few], sig=number << 40 | sig[few], part=part[few], n=n[few])
 
     for batch in batches:
         is_doc = batch.column(5).is_null().to_numpy(zero_copy_only=False)
@@ -235,6 +241,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The sets of texts whose keys are wanted, each once in a task."""
+    only("words")
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, 1, 2 << 20):

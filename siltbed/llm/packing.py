@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import cut
+from siltbed.llm.shared import cut, only
 from siltbed.llm.tokens import default_path, tokenizer
 
 #: Partitions (or groups) whose leftovers are merged in one group of the next level.
@@ -61,6 +61,7 @@ class OpenWindows:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    only("tokens")
     part = TaskContext.get().partitionId()
     open_ = OpenWindows(size, most, part << 28)
     tok = tokenizer(path)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltbed.llm.shared import only, slices
 from siltbed.llm.tokens import default_path, tokenizer
 
 KEYS = ("source", "lang", "tokenizer")
@@ -118,10 +119,11 @@ def with_token_count(docs: DataFrame, name: str, text_col: str = "text", tokeniz
     kept = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         tok = tokenizer(path)
-        for batch in batches:
-            n = [len(b) // tok.dtype.itemsize for b in tok.ids_bytes(batch.column(len(kept)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*kept, name])
+        for part in (part for batch in batches for part in slices(batch, len(kept))):
+            n = [len(b) // tok.dtype.itemsize for b in tok.ids_bytes(part.column(len(kept)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], [*kept, name])
 
     plain = docs.select(*kept, text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.shared import WORD, Workspace, cut, slices, text_or_empty
+from siltbed.llm.shared import WORD, Workspace, cut, only, slices, text_or_empty
 
 _WORD = re.compile(WORD)
 _SIGN = re.compile(r"[#*$%&|<>]")
@@ -99,6 +99,7 @@ def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, lang, gram, n) of a task; the counts leave it when there are many, so it never holds more."""
+    only()
     held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
@@ -212,6 +213,7 @@ def _rows(batch: pa.RecordBatch, models: dict[str, Model], n_carried: int) -> pa
 
 
 def _scored(batches: Iterator[pa.RecordBatch], models: dict[str, Model], n_carried: int) -> Iterator[pa.RecordBatch]:
+    only()
     for batch in batches:
         for part in slices(batch, n_carried + 1):
             yield _rows(part, models, n_carried)

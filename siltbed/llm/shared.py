@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar, Token
 
 import numpy as np
@@ -87,14 +88,49 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of one Arrow batch at most: with Spark's own 10,000 the texts of a batch take some 50 MB several times over.
+ARROW_ROWS = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_ROWS rows, or as few as the session has, in what is planned meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, min(ARROW_ROWS, int(old)) if int(old) > 0 else ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, so a lost executor costs
     only the tasks that read it."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    """Tells of something that a worker process keeps from task to task."""
+    _CACHES[name] = clear
+
+
+def only(name: str = "") -> None:
+    """At a task's start: what the worker process keeps of other steps goes, and its memory back to the system."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

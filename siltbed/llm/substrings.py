@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.jaccard import mixed
-from siltbed.llm.shared import cut, free_name
+from siltbed.llm.shared import cut, free_name, only
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(0xD1617).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -129,6 +129,7 @@ def _later(key1: np.ndarray, key2: np.ndarray, doc: np.ndarray, at: np.ndarray)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    only()
     for batch in batches:
         ids = np.array(batch.column(0).to_pylist(), np.int64)
         texts = _bytes(batch.column(1))
@@ -144,6 +145,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(gram, window, doc_id, at, later) of every window of the runs asked for."""
+    only()
     for batch in batches:
         ids, texts, asked = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
         ids = ids.to_pylist()
@@ -189,6 +191,7 @@ def whole_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, chars: bool) -> Iterator[pa.RecordBatch]:
     """The last two columns are the text and its repeated windows; they become n_bytes, spans and kept."""
+    only()
     for batch in batches:
         raws = _bytes(batch.column(batch.num_columns - 2))
         spans, kept = [], []
