@@ -104,11 +104,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, old)
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "zstd", small: bool = True) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, so a lost executor costs
-    only the tasks that read it."""
+    only the tasks that read it. Not ``small``: in the session's Arrow batches, for what is combined within a batch."""
     path = fresh_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession) if small else contextlib.nullcontext():
         df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

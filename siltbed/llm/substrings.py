@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "
     by_doc = dealt.unionByName(local).groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("other"), F.col("at"))).alias("whole"), F.collect_list(F.when(~F.col("other"), F.struct("at", "gram"))).alias("ends")
     )
-    by_doc = cut(by_doc, "runs")
+    by_doc = cut(by_doc, "runs", small=False)  # equal runs are found within a batch
     # both joins below deal out the texts in one way, so one exchange of them serves both
     given = docs.select(*carry, F.col(id_col).cast("long").alias("doc_id"), key.alias("_id"), F.col(text_col).alias("_text"))
     asked = given.join(by_doc.where(F.size("ends") > 0).select(F.col("doc_id").alias("_id"), "ends"), "_id", "left").select(*given.columns, "ends")
