@@ -169,6 +169,44 @@ def test_classifier(spark, docs, none):
     assert classifier.quality_scores(none, labels).count() == 0
 
 
+def test_classifier_learns_from_all_pairs(spark):
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(150):
+        y = int(rng.random() < 0.6)
+        words = ["the", "river", "stone.", "walks", "green"] + ["BUY!!", "###", "|"] * (1 if y else 2)
+        texts.append(" ".join(rng.choice(words) for _ in range(rng.randrange(3, 30))))
+        labels.append(y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["score"] for r in classifier.quality_scores(df, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")).orderBy("doc_id").collect()]
+    every = np.array([classifier.features(t) for t in texts])
+    known = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(150)])
+    x, y = every[known], np.array(labels)[known]
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.clip((every - mean) / scale, -6, 6)
+    good, bad = z[known][y == 1], z[known][y == 0]
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(d @ w)))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 2.5e-5 * np.eye(len(w)), d.T @ (1 - p) / len(d) - 2.5e-5 * w)
+    s = z @ w
+    logit = np.log(got) - np.log1p(-np.array(got))
+    assert np.abs((logit - logit.mean()) - (s - s.mean())).max() < 0.02
+    ordered, share = np.sort(s[known]), (y == 0).mean()
+    n = len(ordered)
+    threshold = (ordered[int(share * (n - 1))] + ordered[int((share + 0.02) * (n - 1))]) / 2
+    assert np.abs(logit - (s - threshold)).max() < 0.03
+
+
+def test_nth_value(spark):
+    rng = random.Random(3)
+    values = [rng.choice([0.0, -1.5, rng.gauss(0, 1), rng.gauss(5, 1e-9)]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    for rank in (0, 700, 1500, 2999):
+        assert classifier.nth(df, rank, buckets=7, small=3) == sorted(values)[rank]
+
+
 def brute_counts(t):
     words = W.findall(t)
     lines = [x for x in t.split("\n") if W.search(x)]
