@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,14 +49,20 @@ def plus(x: Rational, y: Rational) -> Rational:
     return x[0] * y[1] + y[0] * x[1], x[1] * y[1]
 
 
+@F.arrow_udf("long")
+def gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The greatest common divisor, which Spark has no function for; null if one of the two is."""
+    there = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
+    x, y = (c.fill_null(0).to_numpy() for c in (a, b))
+    return pa.array(np.gcd(x, y), mask=~there)
+
+
 def lowest(num: Column, den: Column) -> Column:
     """num and den in lowest terms, the sign in num; 1/0 for what is divided by zero, 0/0 for zero by zero."""
-    steps = F.sequence(F.lit(1), F.lit(92))  # Euclid's algorithm needs no more for 63 bits
-    pair = F.struct(F.abs(num).alias("a"), F.abs(den).alias("b"))
-    gcd = F.aggregate(steps, pair, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))["a"]
     sign = F.when((num < 0) != (den < 0), -1).otherwise(1)
-    shared = F.greatest(gcd, F.lit(1))
-    return F.struct((sign * F.floor(F.abs(num) / shared)).cast("long").alias("num"), F.floor(F.abs(den) / shared).cast("long").alias("den"))
+    shared = F.greatest(gcd(F.abs(num).cast("long"), F.abs(den).cast("long")), F.lit(1).cast("long"))
+    whole = lambda x: F.call_function("div", F.abs(x), shared)
+    return F.struct((sign * whole(num)).cast("long").alias("num"), whole(den).cast("long").alias("den"))
 
 
 def assess(codec: Column, kbps: Column, width: Column, height: Column, size: Column) -> Column:

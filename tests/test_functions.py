@@ -100,3 +100,10 @@ def _fnv(s):
     for c in s:
         h = (h ^ ord(c)) * 16777619 % 2**32
     return h
+
+
+def test_lowest_of_large_numbers(spark):
+    cases = [(3 * 2**60, 2**61 + 2**60), (2**62 + 1, -1), (-(2**53) - 1, 1), (6, 4), (0, 0), (-5, 0), (0, 7), (None, 4)]
+    want = [(1, 1), (-(2**62) - 1, 1), (-(2**53) - 1, 1), (3, 2), (0, 0), (-1, 0), (0, 1), (None, 4)]
+    got = one(spark, *cases, schema="n long, d long", column=media.lowest(F.col("n"), F.col("d")))
+    assert [tuple(r) for r in got] == want
