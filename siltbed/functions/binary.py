@@ -120,13 +120,36 @@ def _low_first(raw: Column, size: int) -> Column:
     return F.concat(*(F.substring(raw, 2 * k - 1, 2) for k in range(size, 0, -1)))
 
 
+def _swap_digits(x: Column) -> Column:
+    """A long whose bytes have their two hexadecimal digits in the other order."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(x.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(low))
+
+
+def _low_digits(x: Column) -> Column:
+    """The 16 hexadecimal digits of a long, the low byte first: all digits in the other order, each byte's two in theirs."""
+    return F.reverse(F.lpad(F.hex(_swap_digits(x)), 16, "0"))
+
+
+def _low_long(digits: Column) -> Column:
+    """The long of up to 16 hexadecimal digits, the low byte first."""
+    return _swap_digits(F.conv(F.reverse(F.rpad(digits, 16, "0")), 16, -10).cast("long"))
+
+
+def _first_case(cases: list[tuple[Column, int]], otherwise: int) -> Column:
+    out = F
+    for condition, value in cases:
+        out = out.when(condition, F.lit(value))
+    return out.otherwise(F.lit(otherwise))
+
+
 def varint_hex(value: Column) -> Column:
     """A non-negative integer in the format of ``encode_varint``, as hexadecimal."""
-    out = F.concat(F.lit("FF"), _low_first(F.lpad(F.hex(value), 16, "0"), 8))
-    for size in range(8, 0, -1):
-        packed = F.shiftleft(value.cast("long"), size).bitwiseOR((1 << (size - 1)) - 1)
-        out = F.when(value < F.lit(1 << (7 * size)), _low_first(F.lpad(F.hex(packed), 2 * size, "0"), size)).otherwise(out)
-    return out
+    v = value.cast("long")
+    size = _first_case([(v < F.lit(1 << (7 * k)), k) for k in range(1, 9)], 9)
+    packed = F.call_function("shiftleft", v, size).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), size - 1) - 1)
+    digits = F.substring(_low_digits(F.when(size == 9, v).otherwise(packed)), F.lit(1), 2 * size)
+    return F.concat(F.when(size == 9, "FF").otherwise(""), digits)
 
 
 def varint_bytes(value: Column) -> Column:
@@ -136,15 +159,11 @@ def varint_bytes(value: Column) -> Column:
 def varint_value(data: Column) -> Column:
     """The integer at the start of some bytes; null if they are too few."""
     raw = F.hex(data)
-    number = lambda at, size: F.conv(_low_first(F.substring(raw, at, 2 * size), size), 16, -10).cast("long")
-    first = F.conv(F.substring(raw, 1, 2), 16, 10).cast("int")
-    out, least = number(3, 8), F.lit(9)
-    for size in range(8, 0, -1):
-        ones = (1 << (size - 1)) - 1
-        here = first.bitwiseAND((1 << size) - 1) == ones
-        out = F.when(here, F.shiftrightunsigned(number(1, size), size)).otherwise(out)
-        least = F.when(here, size).otherwise(least)
-    return F.when(F.octet_length(data) >= least, out)
+    first = _low_long(F.substring(raw, 1, 16))
+    size = _first_case([(first.bitwiseAND((1 << k) - 1) == (1 << (k - 1)) - 1, k) for k in range(1, 9)], 9)
+    # the bytes behind the integer go to the left, its own bits for the size to the right
+    short = F.call_function("shiftrightunsigned", F.call_function("shiftleft", first, 64 - 8 * size), 64 - 7 * size)
+    return F.when(F.octet_length(data) >= size, F.when(size == 9, _low_long(F.substring(raw, 3, 16))).otherwise(short))
 
 
 def u32_list(values: Column) -> Column:

@@ -107,3 +107,20 @@ def test_lowest_of_large_numbers(spark):
     want = [(1, 1), (-(2**62) - 1, 1), (-(2**53) - 1, 1), (3, 2), (0, 0), (-1, 0), (0, 1), (None, 4)]
     got = one(spark, *cases, schema="n long, d long", column=media.lowest(F.col("n"), F.col("d")))
     assert [tuple(r) for r in got] == want
+
+
+def test_varint_columns(spark):
+    values = [v for v in EDGES if v < 1 << 63]
+    values += [(1 << 7 * k) - 1 for k in range(1, 9)] + [random.Random(2).getrandbits(k) for k in range(1, 64)]
+    rows = [(v, binary.encode_varint(v) + end) for v in values for end in (b"", b"\xff\x00\x7f", b"\xff" * 20)]
+    got = spark.createDataFrame(rows, "v long, b binary").select(binary.varint_bytes(F.col("v")), binary.varint_value(F.col("b"))).collect()
+    assert [(bytes(r[0]), r[1]) for r in got] == [(binary.encode_varint(v), v) for v, _ in rows]
+    short = [(binary.encode_varint(v)[:-1],) for v in values] + [(None,)]
+    assert set(one(spark, *short, schema="b binary", column=binary.varint_value(F.col("b")))) == {None}
+
+
+def test_varints_are_read_in_few_conversions(spark):
+    """Not one for each length."""
+    read = spark.range(9).select(F.hex("id").cast("binary").alias("b")).select(binary.varint_value(F.col("b")))
+    code = read._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert 1 <= code.count("NumberConverter.convert") <= 3
