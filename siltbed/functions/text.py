@@ -132,9 +132,15 @@ def write_metadata(values: dict[str, Column]) -> Column:
 
 
 def read_metadata(text: Column) -> Column:
-    """The values of a metadata text as a map. A line ends at a line feed that no backslash escapes; lines of comments
-    are left out, and of a key that comes again the last value counts."""
-    lines = F.filter(F.split(text, r"(?<=(?<!\\)(?:\\\\){0,99})\n"), lambda x: x.rlike(r"^[^;#\[].*=") | x.rlike(r"(?s)^[^;#\[][^=]*="))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"(?s)^((?:[^=\\]|\\.)*)=", 1).alias("key"), F.regexp_replace(F.regexp_replace(x, r"(?s)^(?:[^=\\]|\\.)*=", ""), r"(?s)\\(.)", "$1").alias("value")))
-    last = F.filter(pairs, lambda p: ~F.exists(F.slice(pairs, F.array_position(pairs, p).cast("int") + 1, 100_000), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(F.array_distinct(last))
+    """The values of a metadata text as a map. A line ends at a line feed that no backslash escapes, and its key at such
+    an equals sign; lines of comments are left out, and of a key that comes again the last value counts."""
+    # with a mark behind each escaped character, only what is escaped stands right behind a backslash
+    marked = F.regexp_replace(text, r"(?s)\\(.)", r"\\$1|")
+    lines = F.filter(F.split(marked, r"(?<!\\)\n"), lambda x: x.rlike(r"(?s)^[^;#\[].*?(?<!\\)="))
+    plain = lambda x: F.regexp_replace(x, r"(?s)\\(.)\|", "$1")
+    key, value = (lambda x: F.regexp_extract(x, r"(?s)^(.*?)(?<!\\)=", 1)), (lambda x: F.regexp_replace(x, r"(?s)^.*?(?<!\\)=", ""))
+    pairs = F.transform(lines, lambda x, i: F.struct(plain(key(x)).alias("key"), i.alias("i"), plain(value(x)).alias("value")))
+    # a lambda's variable is made once, where a column that is named again is made again for each pair
+    last = F.transform(F.array(F.sort_array(pairs)), lambda s: F.filter(s, lambda p, i: ~F.coalesce(F.get(s, i + 1)["key"] == p["key"], F.lit(False))))[0]
+    ordered = F.sort_array(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["key"].alias("key"), p["value"].alias("value"))))
+    return F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))

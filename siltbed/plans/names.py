@@ -310,8 +310,8 @@ def ffmetadata(spark, sf_dir):
     """Metadata texts with escaped values, and the values read from them again."""
     title = F.concat(F.col("p_name"), F.lit(" = "), F.col("p_size").cast("string"), F.lit("; #"), F.col("p_partkey").cast("string"), F.lit("\\\nx"))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.write_metadata({"title": title, "brand": F.col("p_brand")}).alias("text"))
-    read = text.read_metadata(F.col("text"))
-    return rows.select("p_partkey", "text", read["title"].alias("title"), read["brand"].alias("brand"))
+    read = rows.select("p_partkey", "text", text.read_metadata(F.col("text")).alias("read"))
+    return read.select("p_partkey", "text", F.col("read")["title"].alias("title"), F.col("read")["brand"].alias("brand"))
 
 
 @query("SELECT n_nationkey, k AS output, n_name FROM nation, range(0, 3) t(k)")

@@ -109,6 +109,17 @@ def test_lowest_of_large_numbers(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_metadata_of_any_length(spark):
+    many = 2000
+    deep = "\\" * 300 + "\n=" + "x;" * many
+    raw = text.write_metadata({"deep": F.col("s"), "plain": F.lit("y")})
+    assert one(spark, (deep,), schema="s string", column=text.read_metadata(raw)) == [{"deep": deep, "plain": "y"}]
+    again = "a=1\na=2\n;c=3\n[d]=4\na=1\nk\\=e=v\\|w\n"
+    assert one(spark, (again,), (None,), schema="s string", column=text.read_metadata(F.col("s"))) == [{"a": "1", "k=e": "v|w"}, None]
+    lines = "".join(f"k{i % 700}={i}\n" for i in range(many))
+    assert one(spark, (lines,), schema="s string", column=text.read_metadata(F.col("s"))) == [{f"k{i % 700}": str(i) for i in range(many)}]
+
+
 def test_varint_columns(spark):
     values = [v for v in EDGES if v < 1 << 63]
     values += [(1 << 7 * k) - 1 for k in range(1, 9)] + [random.Random(2).getrandbits(k) for k in range(1, 64)]
