@@ -318,6 +318,17 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_pages_are_dealt_compressed(by_id):
+    import pyarrow as pa
+
+    pages = ["<article><p>" + "</p><p>".join(t.split("\n")) + "</p></article>" for t in by_id.values() if t] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(["u"] * len(pages)), pa.array(pages, pa.string())], ["page_id", "url", "html"])
+    dealt = [p for b in html_text._parse([batch]) for p in b.column(2).to_pylist()]
+    want = [html_text._coded(html_text.lines(x or "")) for x in pages]
+    assert sum(map(len, dealt)) < 0.7 * sum(len(x.encode()) for x in want)
+    assert [html_text._unpacked(p) for p in dealt] == want
+
+
 def test_html_doubtful_names_inside_an_article(spark):
     """A part of a class or id isn't enough to delete what stands inside an article; a line of the nearest page is."""
     page = "<article><h1>T{0}</h1><div class='related-work'><p>Work {0}</p><p>See also our shop</p></div><p id='comment-on-x'>On x {0}</p><p class='social-history big'>History {0}</p><div class='ad-slot-1'>Buy {0}</div><div class='comments'>c {0}</div><p>See also our shop</p></article>"
