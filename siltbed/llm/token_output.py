@@ -31,10 +31,15 @@ SHARD_DOCS, BLOCK_BYTES = 20_000, 64_000
 _BLOCK = "shard long, block long, start long, n_docs long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
+def sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each of some unsigned values below 2**32 takes."""
+    return 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+
+
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and value bytes of unsigned values below 2**32."""
     values = np.ascontiguousarray(values, "<u4")
-    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    lengths = sizes(values)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = lengths - 1
     codes = codes.reshape(-1, 4)
@@ -94,43 +99,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype) -> Iterator[tuple[int | None, np.ndarray, int]]:
+    """Each document's id, ranks, and the value bytes that they take."""
     only()
     for batch in batches:
         for part in slices(batch, 2, 1 << 20):
             ids, each = _arrays(part.column(2), dtype)
             ranks = rank[ids]
             ends = np.cumsum(each)
-            pairs = [encode(ranks[a:b]) for a, b in zip((ends - each).tolist(), ends.tolist(), strict=True)]
-            cols = [part.column(0), pa.array(each, pa.int64()), *(pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "control", "data"])
+            total = np.concatenate([[0], np.cumsum(sizes(ranks), dtype=np.int64)])
+            begins = ends - each
+            for doc, begin, end, size in zip(part.column(0).to_pylist(), begins.tolist(), ends.tolist(), (total[ends] - total[begins]).tolist(), strict=True):
+                yield doc, ranks[begin:end], size
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's documents in order: whole documents are gathered to blocks of about BLOCK_BYTES."""
-    held: list[tuple] = []
+def _blocks(docs: Iterator[tuple[int | None, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """One shard's documents in order: whole documents are gathered to blocks of about BLOCK_BYTES, encoded at once."""
+    held: list[tuple[int | None, np.ndarray]] = []
     size, shard, block, start = 0, TaskContext.get().partitionId(), 0, 0
     names = [x.split(" ")[0] for x in _BLOCK.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
 
     def out() -> pa.RecordBatch:
-        # value streams are joined as they are; control bytes of documents that don't fill their last one are recoded
-        ids, counts = [h[0] for h in held], [h[1] for h in held]
-        codes = [((np.frombuffer(h[2], np.uint8)[:, None] >> (2 * np.arange(4))) & 3).reshape(-1)[: h[1]] for h in held]
-        flat = np.concatenate(codes)
-        flat = np.pad(flat, (0, -len(flat) % 4)).reshape(-1, 4).astype(np.uint8)
-        control = (flat[:, 0] | flat[:, 1] << 2 | flat[:, 2] << 4 | flat[:, 3] << 6).astype(np.uint8).tobytes()
-        row = [shard, block, start, len(ids), sum(counts), ids, counts, control, b"".join(h[3] for h in held)]
+        ids, counts = [h[0] for h in held], [len(h[1]) for h in held]
+        row = [shard, block, start, len(ids), sum(counts), ids, counts, *encode(np.concatenate([h[1] for h in held]))]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-    for batch in batches:
-        for doc, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and size >= BLOCK_BYTES:
-                yield out()
-                start, block = start + sum(h[1] for h in held), block + 1
-                held, size = [], 0
-            held.append((doc, n, control, data))
-            size += len(data)
+    for doc, ranks, each in docs:
+        if held and size >= BLOCK_BYTES:
+            yield out()
+            start, block = start + sum(len(h[1]) for h in held), block + 1
+            held, size = [], 0
+        held.append((doc, ranks))
+        size += each
     if held:
         yield out()
 
@@ -161,7 +162,7 @@ def write_token_files(
     order = F.asc_nulls_first("doc_id"), F.asc("tie")
     dealt = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     with small_batches(spark):
-        dealt.mapInArrow(lambda it: _blocks(_encoded(it, sent.value, dtype)), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+        dealt.mapInArrow(lambda it: _blocks(_ranked(it, sent.value, dtype)), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
 
 

@@ -59,14 +59,15 @@ class WordTokenizer:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._ends: dict[str, bytes] = {"": b""}
+        self._starts: dict[str, bytes] = {"": b""}
 
     def _raw(self, piece: str) -> bytes:
         return np.array(self._tok.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _many(self, words: list[str]) -> Iterator[bytes]:
-        text = "".join([w if w[0] == "\n" else " " + w for w in words])
-        ids = np.array(self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-        lengths = np.fromiter([len(w.encode()) + (w[0] != "\n") for w in words], np.int64, len(words))
+        pieces = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.array(self._tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        lengths = pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy()
         ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths)) + 1
         raw, n = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
         begin = 0
@@ -81,6 +82,24 @@ class WordTokenizer:
                 self._ends[end] = found
         return found
 
+    def _start(self, start: str) -> bytes:
+        if (found := self._starts.get(start)) is None:
+            found = self._raw(start)
+            if len(start) <= self._longest:
+                if len(self._starts) > self._keep // 10:
+                    self._starts.clear()
+                self._starts[start] = found
+        return found
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different words; most are there, so only the others are taken apart."""
+        out = [*map(self._young.get, words)]
+        if missing := [i for i, ids in enumerate(out) if ids is None]:
+            learnt = self.learn({words[i] for i in missing})
+            for i in missing:
+                out[i] = learnt[words[i]]
+        return out
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """A dict that holds the ids of each word; a space or, for those that have one, a line feed stands before it.
 
@@ -109,7 +128,13 @@ class WordTokenizer:
             else:
                 whole.add(w)
         passing: dict[str, bytes] = {}
-        cores = [*whole, *{c for _, c, _ in parts}.difference(whole, young)]
+        # one difference at a time: of several, the later ones would run over all of ``young``
+        for c in {c for _, c, _ in parts}.difference(whole).difference(young):
+            if (found := old.get(c)) is None:
+                whole.add(c)
+            else:
+                young[c] = found
+        cores = [*whole]
         for i in range(0, len(cores), 20_000):
             part = cores[i : i + 20_000]
             for c, ids in zip(part, self._many(part), strict=True):
@@ -135,14 +160,12 @@ class WordTokenizer:
         later = np.ones(len(words), bool)
         later[offsets[:-1]] = False
         coded = words.filter(pa.array(later)).dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        get = self.learn(set(known)).__getitem__
-        ids = pa.array([get(w) for w in known], pa.large_binary())
+        ids = pa.array(self._found(coded.dictionary.to_pylist()), pa.large_binary())
         flat = ids.take(coded.indices)
         ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1][offsets - np.arange(len(offsets))].tolist() if len(flat) else [0] * len(offsets)
         raw = memoryview(flat.buffers()[2]) if flat.buffers()[2] is not None else b""
         for start, begin, end in zip(starts, ends[:-1], ends[1:], strict=True):
-            yield self._raw(start) + raw[begin:end]
+            yield self._start(start) + raw[begin:end]
 
     def _odd_ids(self, text: str) -> bytes:
         if self._added is not None and self._added.search(text):

@@ -491,3 +491,14 @@ def test_rollups_broken_commit_and_changes(spark, monkeypatch):
     assert got() == {("a", "v"): (1, 5, 2), ("b", "v"): (1, 11, 2), (None, "v"): (1, 7, 1)}
     rollups.change(rows((None, "z", None, "v", None), (2, "a", "en", "v", 6)), path, 3)
     assert got() == {("a", "v"): (1, 6, 3), ("b", "v"): (1, 11, 2)}
+
+
+def test_first_words_are_encoded_once(monkeypatch):
+    tok = WordTokenizer(default_path())
+    calls, raw = [], tok._raw
+    monkeypatch.setattr(tok, "_raw", lambda piece: calls.append(piece) or raw(piece))
+    texts = [f"The word{i % 7}. {'x' * i}" for i in range(1, 50)]
+    for _ in range(2):
+        got = list(tok.ids_bytes(texts))
+        assert got == [np.array(e.ids, tok.dtype).tobytes() for e in Tokenizer.from_file(default_path()).encode_batch(texts, add_special_tokens=False)]
+    assert calls.count("The") == 1
