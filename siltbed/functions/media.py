@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Preset names by codec and speed; default quality by codec; ranges of options.
 PRESETS = {"h264": {"fast": "veryfast", "medium": "medium", "slow": "slow"}, "h265": {"fast": "fast", "medium": "medium", "slow": "slow"}}
@@ -49,7 +50,7 @@ def plus(x: Rational, y: Rational) -> Rational:
     return x[0] * y[1] + y[0] * x[1], x[1] * y[1]
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())  # a type by its name would need a session when this module is imported
 def gcd(a: pa.Array, b: pa.Array) -> pa.Array:
     """The greatest common divisor, which Spark has no function for; null if one of the two is."""
     there = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
