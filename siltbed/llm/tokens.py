@@ -91,58 +91,50 @@ class WordTokenizer:
                 self._starts[start] = found
         return found
 
-    def _found(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some different words; most are there, so only the others are taken apart."""
-        out = [*map(self._young.get, words)]
-        if missing := [i for i, ids in enumerate(out) if ids is None]:
-            learnt = self.learn({words[i] for i in missing})
-            for i in missing:
-                out[i] = learnt[words[i]]
-        return out
+    def _entries(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some different words; a space or, for those that have one, a line feed stands before it.
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """A dict that holds the ids of each word; a space or, for those that have one, a line feed stands before it.
-
-        Letters and the punctuation after them are pieces of their own to the pre-tokenizer, so they are encoded
+        Letters and the punctuation after them are pieces of their own to the pre-tokenizer, so they are looked up
         apart, each once for all the words that have it."""
+        cores = pc.ascii_rtrim(words, characters=_AFTER)
+        after = pc.subtract(pc.binary_length(words), pc.binary_length(cores))
+        apart = pc.and_(pc.greater(after, 0), pc.utf8_is_alpha(pc.ascii_ltrim(cores, characters="\n")))
+        coded = pc.if_else(apart, cores, words).dictionary_encode()
+        # to_pylist would make a scalar for each
+        ids = pa.array(self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        n = np.where(apart.to_numpy(zero_copy_only=False), after.to_numpy(), 0)
+        if not n.any():
+            return ids
+        # the last n bytes of each word
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        last = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + len(words) + 1]
+        at = np.repeat(last - offsets[1:], n) + np.arange(offsets[-1])
+        data = np.frombuffer(words.buffers()[2], np.uint8)[at]
+        ends = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        end_ids = pa.array([*map(self._end, ends.dictionary.to_pylist())], pa.large_binary()).take(ends.indices)
+        return pc.binary_join_element_wise(ids, end_ids, pa.scalar(b"", pa.large_binary()))
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different words; most are there, so only the others are encoded."""
+        out = [*map(self._young.get, words)]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if not missing:
+            return out
         if len(self._young) > self._keep:
             self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        new = []
-        for w in words.difference(young):
-            if (found := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = found
-        if not new:
-            return young
-        parts = []
-        whole: set[str] = set()
-        for w in new:
-            if w.isalpha():
-                whole.add(w)
-                continue
-            core = w.rstrip(_AFTER)
-            if len(core) < len(w) and (core.isalpha() or core[:1] == "\n" and core[1:].isalpha()):
-                parts.append((w, core, w[len(core) :]))
+        young, old, new = self._young, self._old, []
+        for i in missing:
+            if (ids := old.get(words[i])) is None:
+                new.append(i)
             else:
-                whole.add(w)
-        passing: dict[str, bytes] = {}
-        # one difference at a time: of several, the later ones would run over all of ``young``
-        for c in {c for _, c, _ in parts}.difference(whole).difference(young):
-            if (found := old.get(c)) is None:
-                whole.add(c)
-            else:
-                young[c] = found
-        cores = [*whole]
-        for i in range(0, len(cores), 20_000):
-            part = cores[i : i + 20_000]
-            for c, ids in zip(part, self._many(part), strict=True):
-                (young if len(c) <= self._longest else passing)[c] = ids
-        for w, c, e in parts:
-            ids = (young[c] if c in young else passing[c]) + self._end(e)
-            (young if len(w) <= self._longest else passing)[w] = ids
-        return young if not passing else {w: young[w] if w in young else passing[w] for w in words}
+                out[i] = young[words[i]] = ids
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            for i, ids in zip(part, self._many([words[i] for i in part]), strict=True):
+                out[i] = ids
+                if len(words[i]) <= self._longest:
+                    young[words[i]] = ids
+        return out
 
     def _odd(self, text: str) -> bool:
         """Whether a text can't be cut at each single space and before each line feed."""
@@ -160,8 +152,7 @@ class WordTokenizer:
         later = np.ones(len(words), bool)
         later[offsets[:-1]] = False
         coded = words.filter(pa.array(later)).dictionary_encode()
-        ids = pa.array(self._found(coded.dictionary.to_pylist()), pa.large_binary())
-        flat = ids.take(coded.indices)
+        flat = self._entries(coded.dictionary).take(coded.indices)
         ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1][offsets - np.arange(len(offsets))].tolist() if len(flat) else [0] * len(offsets)
         raw = memoryview(flat.buffers()[2]) if flat.buffers()[2] is not None else b""
         for start, begin, end in zip(starts, ends[:-1], ends[1:], strict=True):
@@ -171,9 +162,11 @@ class WordTokenizer:
         if self._added is not None and self._added.search(text):
             return self._raw(text)
         first, *words = _CUT.split(text)
-        return self._raw(first) + b"".join(map(self.learn(set(words)).__getitem__, words))
+        different = [*dict.fromkeys(words)]
+        ids = dict(zip(different, self._entries(pa.array(different, pa.large_string())).to_pylist(), strict=True))
+        return self._raw(first) + b"".join(map(ids.__getitem__, words))
 
-    def ids_bytes(self, texts: Iterable[str | None], chars: int = 5_000_000) -> Iterator[bytes]:
+    def ids_bytes(self, texts: Iterable[str | None], chars: int = 8_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes; null is empty. Works on some ``chars`` characters at once."""
         held: list[str] = []
         size = 0
